@@ -47,8 +47,10 @@ def count_segments(entries: DataFrame, column: Sequence[str], segment: Sequence[
     ).repartition(nodes, "node__")
     # all of a segment is on one node, and the node is part of every key below: no further shuffle
     once = placed.groupBy("node__", *keys, "value__").agg(F.max("count__").alias("count__"), F.max("size__").alias("size__"))
-    local = once.groupBy("node__", *column, "value__").agg(F.sum("count__").alias("count__")).where("value__ IS NOT NULL AND count__ > 0")
-    sizes = once.groupBy("node__", *keys).agg(F.max("size__").alias("size__"))
+    # both branches ask for both numbers, so that their exchange is the same one and runs once
+    both = F.coalesce(F.col("size__"), F.lit(0)) + F.coalesce(F.col("count__"), F.lit(0.0)) >= 0
+    local = once.groupBy("node__", *column, "value__").agg(F.sum("count__").alias("count__"), F.max("size__").alias("size__")).where(both & F.expr("value__ IS NOT NULL AND count__ > 0")).drop("size__")
+    sizes = once.groupBy("node__", *keys).agg(F.max("size__").alias("size__"), F.max("count__").alias("count__")).where(both)
     held = sizes.groupBy("node__", *column).agg(F.coalesce(F.sum("size__"), F.lit(0)).alias("held__"))
     return NodeCounts(local, held, column)
 

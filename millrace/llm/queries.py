@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import frequent, leakage, percentiles, topn
+from millrace.llm import frequent, garbled, leakage, mixture, percentiles, topn
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,10 +79,31 @@ def p6_spans(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.explode("spans").alias("span")).select("doc_id", "item_id", F.col("span.first").alias("first_word"), F.col("span.end").alias("end_word"))
 
 
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares actually reached."""
+    targets = table(spark, sf, "mix_target")
+    return mixture.reached_shares(mixture.mixture(table(spark, sf, "documents"), targets), targets)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled.garbled_lines(table(spark, sf, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """Affected documents with their text restored where possible."""
+    return garbled.restored_documents(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_percentiles": p1_percentiles, "p1_from_condensed": p1_from_condensed,
         "p2_found": p2_found, "p2_top_values": p2_top_values, "p2_top_departments": p2_top_departments,
         "p4_found": p4_found,
         "p6_found": p6_found, "p6_spans": p6_spans,
+        "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+        "p8_found": p8_found, "p8_restored": p8_restored,
     }
