@@ -43,7 +43,13 @@ class _Codec:
         return raw.decode(self.name)
 
 
-CODECS = {n: _Table(n) for n in SINGLE_BYTE} | {n: _Codec(n) for n in (*MULTI_BYTE, *WIDE, "utf_8")}
+class _Wide(_Codec):
+    def encode(self, text: str) -> bytes:
+        # an odd last byte became a replacement character
+        return text.removesuffix("�").encode(self.name)
+
+
+CODECS = {n: _Table(n) for n in SINGLE_BYTE} | {n: _Codec(n) for n in (*MULTI_BYTE, "utf_8")} | {n: _Wide(n) for n in WIDE}
 
 #: (decoded with, written in): what may have happened to a text
 PAIRS: tuple[tuple[str, str], ...] = tuple(
@@ -82,6 +88,14 @@ def undo(text: str, pairs: dict[str, list[str]]) -> dict[str, tuple[str, str]]:
     return out
 
 
+_TO_UTF_8 = by_decoder((w, "utf_8") for w in (*SINGLE_BYTE, *MULTI_BYTE, *WIDE))
+
+
+def may_be_utf_8(text: str) -> bool:
+    """Whether some codec turns ``text`` into valid UTF-8, which text that was decoded rightly hardly ever is."""
+    return bool(undo(text, _TO_UTF_8))
+
+
 _BITS = 20
 BUCKETS = 1 << _BITS
 #: buckets of single characters

@@ -34,8 +34,9 @@ from millrace.session import cut_lineage
 
 #: different twins that have to show a transformation
 MIN_TWINS = 2
-#: records without ASCII letters that have to gain, and how much, where there are no twins
-MIN_GAINS, WIDE_MARGIN = 3, 15.0
+#: what a record has to gain to speak for a transformation where there are no twins, and what all of them
+#: together have to (natural logarithms of odds)
+WIDE_MARGIN, MIN_GAIN = 15.0, 45
 #: natural logarithm of the odds at which a record counts as garbled
 MARGIN = 2.0
 #: letters that have to be left of a stripped word or line
@@ -89,10 +90,11 @@ def records(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def count_model(lines: DataFrame) -> Model:
-    """The character model of all distinct lines (``line``, ``n``), a line counting as the root of its number.
+    """The character model of the distinct lines (``line``, ``n``), a line counting as the root of its number.
 
-    The root keeps a line that stands in many documents from outweighing what varies. At most one row
-    per bucket is collected.
+    The root keeps a line that stands in many documents from outweighing what varies. Lines that could
+    be bytes of UTF-8 are no witnesses for text as it should be: garbage that is copied often would
+    else come to look probable. At most one row per bucket is collected.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +103,8 @@ def count_model(lines: DataFrame) -> Model:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             weight = np.rint(4 * np.sqrt(batch.column(1).to_numpy(zero_copy_only=False))).astype(np.int64)
+            sound = [i for i, t in enumerate(texts) if not encodings.may_be_utf_8(t)]
+            texts, weight = [texts[i] for i in sound], weight[sound]
             for part, w in _parts(texts, weight):
                 p, s = encodings.count_pairs(part, w)
                 pairs += p
@@ -199,13 +203,13 @@ def learn(pairs: DataFrame, lines: DataFrame, model: Broadcast) -> list[tuple[st
         votes: Counter = Counter()
         for batch in batches:
             bare = [t for t in batch.column(0).to_pylist() if all(w.isascii() or len(_NOT_LETTER.sub("", w)) < WORD_LETTERS for w in _BLANKS.split(t))]
-            for _, _, pair, _ in _best(bare, model.value, by_decoder(PAIRS), WIDE_MARGIN):
-                votes[pair] += 1
+            for _, _, pair, gained in _best(bare, model.value, by_decoder(PAIRS), WIDE_MARGIN):
+                votes[pair] += int(gained)
         yield _vote_rows("gain", votes)
 
     schema = "kind string, w string, r string, n bigint"
     counted = pairs.select("a", "b").mapInArrow(vote, schema).unionByName(lines.select("line").mapInArrow(gain, schema)).groupBy("kind", "w", "r").agg(F.sum("n").alias("n")).collect()
-    known = {(x.w, x.r) for x in counted if x.n >= (MIN_TWINS if x.kind == "twin" else MIN_GAINS)}
+    known = {(x.w, x.r) for x in counted if x.n >= (MIN_TWINS if x.kind == "twin" else MIN_GAIN)}
     return [p for p in PAIRS if p in known]
 
 
