@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import eager, replay
+from millrace.plans import relational
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,11 +89,11 @@ FROM emp e JOIN dept d ON e.dept = d.id GROUP BY d.dname""",
 
 
 def queries() -> dict[str, Query]:
-    return {
+    return relational.QUERIES | {
         "p3_found": p3_found, "p3_state": p3_state, "p3_undo": p3_undo,
         "p5_found": p5_found, "p5_departments": p5_departments, "p5_by_name": p5_by_name,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(P_SQL)
+    return relational.SQL | P_SQL
