@@ -101,6 +101,8 @@ BUCKETS = 1 << _BITS
 #: buckets of single characters
 SINGLES = 1 << 17
 _PRIOR = 1.0
+#: least probability of an ASCII character after another: unusual ASCII says nothing about encodings
+_ASCII = 1 / 96
 #: characters scored at a time
 _CHARS = 1 << 20
 _FOLD = np.arange(128, dtype=np.uint32)
@@ -149,6 +151,8 @@ class Model:
         single = self.singles[codes % SINGLES]
         chance = (single[1:] + 0.05) / self.total
         p = (self.pairs[_bucket(codes)] + _PRIOR * chance) / (single[:-1] + _PRIOR)
+        ascii_pair = (codes[1:] < 128) & (codes[:-1] < 128)
+        p[ascii_pair] = np.maximum(p[ascii_pair], _ASCII)
         return np.add.reduceat(np.log(np.minimum(p, 1.0), dtype=np.float64), starts)
 
     def score_all(self, texts: Sequence[str]) -> np.ndarray:
