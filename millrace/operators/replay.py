@@ -14,7 +14,8 @@ as its changes need.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +31,31 @@ INSERT, UPDATE, DELETE = 1, 2, 3
 _CHUNK_ROWS = 1 << 20
 
 
-def _fold(table: pa.Table, n_keys: int, n_values: int) -> pa.Table:
-    """Replay rows sorted by key and sequence; one row, itself a change, for each key."""
+@dataclass
+class _Stretch:
+    """What matters of rows sorted by key and sequence, by key: places of rows, -1 where there is none."""
+
+    starts: np.ndarray
+    seq: np.ndarray
+    op: np.ndarray
+    bits: np.ndarray
+    #: last change, last insert or delete, and last change of each column after it
+    live: np.ndarray
+    reset: np.ndarray
+    setters: list[np.ndarray]
+
+
+def _stretch(table: pa.Table, n_keys: int, n_values: int) -> _Stretch:
     n = table.num_rows
     index = np.arange(n)
     new_key = np.zeros(n, dtype=bool)
     new_key[0] = True
     for i in range(n_keys):
         column = table.column(i).combine_chunks()
-        a, b = column.slice(1), column.slice(0, n - 1)
-        differs = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        differs = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
         nulls = pc.is_null(column).to_numpy(zero_copy_only=False)
         new_key[1:] |= differs | (nulls[1:] != nulls[:-1])
-    seq = table.column(n_keys).combine_chunks().to_numpy(zero_copy_only=False)
-    op = table.column(n_keys + 1).combine_chunks().to_numpy(zero_copy_only=False).copy()
-    bits = table.column(n_keys + 2).combine_chunks().to_numpy(zero_copy_only=False).copy()
+    seq, op, bits = (table.column(n_keys + i).combine_chunks().to_numpy(zero_copy_only=False).copy() for i in range(3))
     #: a sequence number seen before has been applied already
     applied = np.zeros(n, dtype=bool)
     applied[1:] = ~new_key[1:] & (seq[1:] == seq[:-1])
@@ -55,21 +66,43 @@ def _fold(table: pa.Table, n_keys: int, n_values: int) -> pa.Table:
     live = last(op != 0)
     reset = last((op == INSERT) | (op == DELETE))
     reset = np.where(reset >= starts, reset, -1)
-    ends_op = op[live]
-    out_op = np.where(ends_op == DELETE, DELETE, np.where(reset >= 0, INSERT, UPDATE)).astype(np.int32)
-    out_bits = np.zeros(len(starts), dtype=np.int64)
-    columns = [table.column(i).take(pa.array(starts)) for i in range(n_keys)]
-    columns += [pa.array(seq[live]), pa.array(out_op)]
-    values = []
+    setters = []
     for i in range(n_values):
         at = last((bits >> i) & 1 == 1)
-        known = (at >= starts) & (at >= reset) & (out_op != DELETE)
+        setters.append(np.where((at >= starts) & (at >= reset), at, -1))
+    return _Stretch(starts, seq, op, bits, live, reset, setters)
+
+
+def _fold(table: pa.Table, n_keys: int, n_values: int) -> pa.Table:
+    """Replay rows sorted by key and sequence; one row, itself a change, for each key."""
+    s = _stretch(table, n_keys, n_values)
+    ends_op = s.op[s.live]
+    out_op = np.where(ends_op == DELETE, DELETE, np.where(s.reset >= 0, INSERT, UPDATE)).astype(np.int32)
+    out_bits = np.zeros(len(s.starts), dtype=np.int64)
+    values = []
+    for i, at in enumerate(s.setters):
+        known = (at >= 0) & (out_op != DELETE)
         out_bits |= np.where(known, 1 << i, 0)
         values.append(table.column(n_keys + 3 + i).take(pa.array(np.where(known, at, 0), mask=~known)))
-    return pa.Table.from_arrays([*columns, pa.array(out_bits), *values], schema=table.schema)
+    keys = [table.column(i).take(pa.array(s.starts)) for i in range(n_keys)]
+    return pa.Table.from_arrays([*keys, pa.array(s.seq[s.live]), pa.array(out_op), pa.array(out_bits), *values], schema=table.schema)
+
+
+def _prune(table: pa.Table, n_keys: int, n_values: int) -> pa.Table:
+    """The changes that can still matter, with the columns they can still decide."""
+    s = _stretch(table, n_keys, n_values)
+    bits = np.zeros(table.num_rows, dtype=np.int64)
+    kept = np.zeros(table.num_rows, dtype=bool)
+    kept[s.live] = True
+    kept[s.reset[s.reset >= 0]] = True
+    for i, at in enumerate(s.setters):
+        kept[at[at >= 0]] = True
+        bits[at[at >= 0]] |= 1 << i
+    place = n_keys + 2
+    return table.set_column(place, table.schema.field(place), pa.array(bits)).filter(pa.array(kept))
 
 
-def _replay_partition(n_keys: int, n_values: int):
+def _replay_partition(n_keys: int, n_values: int, step: Callable[[pa.Table, int, int], pa.Table] = _fold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -78,30 +111,46 @@ def _replay_partition(n_keys: int, n_values: int):
                 held.append(batch)
                 rows += batch.num_rows
             if rows >= _CHUNK_ROWS:
-                folded = _fold(pa.Table.from_batches(held), n_keys, n_values)
-                yield from folded.slice(0, folded.num_rows - 1).to_batches()
-                held = folded.slice(folded.num_rows - 1).combine_chunks().to_batches()
+                done = step(pa.Table.from_batches(held), n_keys, n_values)
+                # the last key may go on in the next rows
+                at = int(_stretch(done, n_keys, 0).starts[-1])
+                yield from done.slice(0, at).to_batches()
+                held = done.slice(at).combine_chunks().to_batches()
                 rows = len(held)
         if held:
-            yield from _fold(pa.Table.from_batches(held), n_keys, n_values).to_batches()
+            yield from step(pa.Table.from_batches(held), n_keys, n_values).to_batches()
 
     return run
 
 
-def partial_states(changes: DataFrame, keys: Sequence[str], seq: str, op: str, set_bits: str, values: Sequence[str]) -> DataFrame:
-    """Changes folded to few rows per key; the rows are changes again and can be folded further."""
+def _in_order(changes: DataFrame, keys: Sequence[str], seq: str, op: str, set_bits: str, values: Sequence[str]) -> DataFrame:
     order = [*keys, seq]
     picked = changes.select(*keys, F.col(seq).cast("long").alias(seq), F.col(op).cast("int").alias(op), F.col(set_bits).cast("long").alias(set_bits), *values)
-    parts = picked.repartitionByRange(shuffle_width(changes.sparkSession), *order).sortWithinPartitions(*order)
+    return picked.repartitionByRange(shuffle_width(changes.sparkSession), *order).sortWithinPartitions(*order)
+
+
+def partial_states(changes: DataFrame, keys: Sequence[str], seq: str, op: str, set_bits: str, values: Sequence[str]) -> DataFrame:
+    """Changes folded to few rows per key, each for all changes between two sequence numbers."""
+    parts = _in_order(changes, keys, seq, op, set_bits, values)
     return parts.mapInArrow(_replay_partition(len(keys), len(values)), parts.schema)
 
 
 def merge_states(states: DataFrame, keys: Sequence[str], seq: str, values: Sequence[str]) -> DataFrame:
-    """Fold partial states of any origin (other partitions, days, a stored state) to one row per key."""
+    """Fold states of stretches that do not overlap in sequence (partitions, closed periods) to one row per key."""
     parts = states.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, seq)
     return parts.mapInArrow(_replay_partition(len(keys), len(values)), parts.schema)
 
 
+def surviving_changes(changes: DataFrame, keys: Sequence[str], seq: str, op: str, set_bits: str, values: Sequence[str]) -> DataFrame:
+    """Those changes that can still matter whatever else arrives, at most one per column and two more per key.
+
+    Unlike folded states they keep their sequence numbers, so survivors of any parts of a feed, however
+    these overlap, can be put together and replayed. Keys cut by a partition may keep some rows more.
+    """
+    parts = _in_order(changes, keys, seq, op, set_bits, values)
+    return parts.mapInArrow(_replay_partition(len(keys), len(values), _prune), parts.schema)
+
+
 def replay_feed(changes: DataFrame, keys: Sequence[str], seq: str, op: str, set_bits: str, values: Sequence[str]) -> DataFrame:
     """Current rows: ``keys``, ``seq`` of the last change, ``values``.
 
@@ -114,17 +163,23 @@ def replay_feed(changes: DataFrame, keys: Sequence[str], seq: str, op: str, set_
     are ignored; null key columns are key values like any other. An empty feed gives no rows. Values
     may be of any length. Columns not named are ignored, whatever their names.
     """
-    internal = {k: f"k__{i}" for i, k in enumerate(keys)}
-    vals = {v: f"v__{i}" for i, v in enumerate(values)}
-    picked = changes.where(F.col(seq).isNotNull() & F.col(op).isin(INSERT, UPDATE, DELETE)).select(
-        *(F.col(k).alias(a) for k, a in internal.items()), F.col(seq).alias("seq__"), F.col(op).alias("op__"),
-        F.coalesce(F.when(F.col(op) == DELETE, F.lit(0)).otherwise(F.col(set_bits)), F.lit(0)).alias("bits__"), *(F.col(v).alias(a) for v, a in vals.items()),
+    names, vals = [f"k__{i}" for i in range(len(keys))], [f"v__{i}" for i in range(len(values))]
+    parts = partial_states(as_changes(changes, keys, seq, op, set_bits, values), names, "seq__", "op__", "bits__", vals)
+    return live_rows(merge_states(parts, names, "seq__", vals), keys, seq, values)
+
+
+def as_changes(changes: DataFrame, keys: Sequence[str], seq: str, op: str, set_bits: str, values: Sequence[str]) -> DataFrame:
+    """Changes under the names the replay works with: k__0 ..., seq__, op__, bits__, v__0 ..."""
+    return changes.where(F.col(seq).isNotNull() & F.col(op).isin(INSERT, UPDATE, DELETE)).select(
+        *(F.col(k).alias(f"k__{i}") for i, k in enumerate(keys)), F.col(seq).cast("long").alias("seq__"), F.col(op).cast("int").alias("op__"),
+        F.coalesce(F.when(F.col(op) == DELETE, F.lit(0)).otherwise(F.col(set_bits)), F.lit(0)).cast("long").alias("bits__"), *(F.col(v).alias(f"v__{i}") for i, v in enumerate(values)),
     )
-    names = list(internal.values())
-    parts = partial_states(picked, names, "seq__", "op__", "bits__", list(vals.values()))
-    merged = merge_states(parts, names, "seq__", list(vals.values()))
-    return merged.where(F.col("op__") != DELETE).select(
-        *(F.col(a).alias(k) for k, a in internal.items()), F.col("seq__").alias(seq), *(F.col(a).alias(v) for v, a in vals.items())
+
+
+def live_rows(states: DataFrame, keys: Sequence[str], seq: str, values: Sequence[str]) -> DataFrame:
+    """Rows that exist after the states of ``merge_states``, under their own names."""
+    return states.where(F.col("op__") != DELETE).select(
+        *(F.col(f"k__{i}").alias(k) for i, k in enumerate(keys)), F.col("seq__").alias(seq), *(F.col(f"v__{i}").alias(v) for i, v in enumerate(values))
     )
 
 
