@@ -1,13 +1,14 @@
 """The most frequent values of a column by three-phase threshold search.
 
-The rows are spread over nodes so that everything one node holds can be counted there. Phase one sends
-each node's leading values and adds up what was sent: the k-th of these partial sums is a lower bound
-of the k-th true count. Phase two fetches from every node the values that reach the node's share of the
-bound: a value that stays below its share on every node cannot reach the bound altogether. Phase three
-adds up the fetched values exactly over all nodes. No node sends more than the values above its share,
-however many distinct values there are.
-
-A node's share of the bound is in proportion to what the node holds, so that uneven nodes do not loosen it.
+The rows are spread over nodes so that what one node holds can be counted there. Phase one sends each
+node's leading values and adds up what was sent: the k-th of these partial sums is a lower bound of the
+k-th true count. Phase two fetches from every node the values that reach the node's share of the bound:
+a value that stays below its share on every node cannot reach the bound altogether. Phase three adds up
+the fetched values exactly over all nodes. No node sends more than the values above its share, however
+many distinct values there are.
+
+Rows are spread by a hash that keeps repeated rows together and nothing else, so that neither a frequent
+value nor a large segment ends up on one node, and the nodes' shares are equal.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ _SLACK = 1 - 1e-9
 
 
 class NodeCounts:
-    """Counts of values per node, and the weight each node holds of every column."""
+    """Counts of values per node (node__, column keys, value__, count__), and totals of every column (total__)."""
 
-    def __init__(self, local: DataFrame, held: DataFrame, column: Sequence[str]):
-        self.local, self.held, self.column = local, held, list(column)
+    def __init__(self, local: DataFrame, totals: DataFrame, column: Sequence[str], nodes: int):
+        self.local, self.totals, self.column, self.nodes = local, totals, list(column), nodes
 
 
 def count_segments(entries: DataFrame, column: Sequence[str], segment: Sequence[str], value: str, frequency: str, size: str, nodes: int | None = None) -> NodeCounts:
@@ -36,37 +37,36 @@ def count_segments(entries: DataFrame, column: Sequence[str], segment: Sequence[
     ``column`` names the counted column (for instance relation and column number) and ``segment`` the
     rest of a segment's key. A segment's size counts once however many values it lists; repeated rows
     count once; null frequencies and sizes add nothing; the null value is not a candidate, but its
-    segment counts in the total.
+    segment counts in the total. No rows give no counts; other columns are ignored, whatever their names.
     """
-    spark = entries.sparkSession
-    nodes = nodes or shuffle_width(spark)
+    nodes = nodes or shuffle_width(entries.sparkSession)
     keys = [*column, *segment]
     placed = entries.select(
-        F.pmod(F.xxhash64(*keys), F.lit(nodes)).alias("node__"), *keys, F.col(value).alias("value__"),
+        F.pmod(F.xxhash64(*keys, value), F.lit(nodes)).alias("node__"), *keys, F.col(value).alias("value__"),
         (F.col(frequency) * F.col(size)).cast("double").alias("count__"), F.col(size).cast("long").alias("size__"),
     ).repartition(nodes, "node__")
-    # all of a segment is on one node, and the node is part of every key below: no further shuffle
-    once = placed.groupBy("node__", *keys, "value__").agg(F.max("count__").alias("count__"), F.max("size__").alias("size__"))
-    # both branches ask for both numbers, so that their exchange is the same one and runs once
+    # repeated rows are on one node, and the node is part of the keys: no further shuffle for counting.
+    # Both branches ask for both numbers, so that their exchange is the same one and runs once
     both = F.coalesce(F.col("size__"), F.lit(0)) + F.coalesce(F.col("count__"), F.lit(0.0)) >= 0
+    once = placed.groupBy("node__", *keys, "value__").agg(F.max("count__").alias("count__"), F.max("size__").alias("size__"))
     local = once.groupBy("node__", *column, "value__").agg(F.sum("count__").alias("count__"), F.max("size__").alias("size__")).where(both & F.expr("value__ IS NOT NULL AND count__ > 0")).drop("size__")
-    sizes = once.groupBy("node__", *keys).agg(F.max("size__").alias("size__"), F.max("count__").alias("count__")).where(both)
-    held = sizes.groupBy("node__", *column).agg(F.coalesce(F.sum("size__"), F.lit(0)).alias("held__"))
-    return NodeCounts(local, held, column)
+    sizes = once.groupBy(*keys).agg(F.max("size__").alias("size__"), F.max("count__").alias("count__")).where(both)
+    return NodeCounts(local, sizes.groupBy(*column).agg(F.sum("size__").alias("total__")).where("total__ > 0"), column, nodes)
 
 
 def count_rows(df: DataFrame, value: str, column: Sequence[str] = (), nodes: int | None = None) -> NodeCounts:
-    """Node counts from plain rows; rows go to nodes at random, by a hash of ``value`` and a salt.
+    """Node counts from plain rows.
 
-    The salt (16 ways) splits a value that holds most of the rows; it is pre-counted before the shuffle.
+    Rows are counted before the shuffle. The node follows from the value and a salt (16 ways, by the
+    whole row), which spreads a value that holds most of the rows. Null values are not candidates but
+    count in the total.
     """
     nodes = nodes or shuffle_width(df.sparkSession)
     salted = df.select(*column, F.col(value).alias("value__"), F.pmod(F.xxhash64(*df.columns), F.lit(16)).alias("salt__"))
     counted = salted.groupBy(*column, "value__", "salt__").agg(F.count(F.lit(1)).cast("double").alias("count__"))
     placed = counted.withColumn("node__", F.pmod(F.xxhash64("value__", "salt__"), F.lit(nodes)))
-    local_all = placed.groupBy("node__", *column, "value__").agg(F.sum("count__").alias("count__"))
-    held = local_all.groupBy("node__", *column).agg(F.sum("count__").alias("held__"))
-    return NodeCounts(local_all.where("value__ IS NOT NULL"), held, column)
+    local = placed.groupBy("node__", *column, "value__").agg(F.sum("count__").alias("count__"))
+    return NodeCounts(local.where("value__ IS NOT NULL"), local.groupBy(*column).agg(F.sum("count__").alias("total__")), column, nodes)
 
 
 def _same(names: Sequence[str], right: str) -> Column:
@@ -84,11 +84,7 @@ def _resolve(counts: NodeCounts, bound: DataFrame) -> DataFrame:
     """Exact counts of all values that can reach ``bound`` (column keys, bound__, total__)."""
     column = counts.column
     bounds = _renamed(bound, column, "b__")
-    share = counts.held.join(F.broadcast(bounds) if not column else bounds, _same(column, "b__"), "inner").select(
-        "node__", *column, (F.col("bound__") * F.col("held__") / F.col("total__") * _SLACK).alias("share__")
-    )
-    keyed = _renamed(share.withColumnRenamed("node__", "n__"), column, "s__")
-    above = counts.local.join(keyed, (F.col("node__") == F.col("n__")) & _same(column, "s__"), "inner").where("count__ >= share__")
+    above = counts.local.join(bounds, _same(column, "b__"), "inner").where(F.col("count__") >= F.col("bound__") / counts.nodes * _SLACK)
     fetched = _renamed(above.select(*column, F.col("value__").alias("fetched__")).distinct(), column, "f__")
     # left_semi keeps the counts of every node, also where the value stays below the node's share
     exact = counts.local.join(fetched, (F.col("value__") == F.col("fetched__")) & _same(column, "f__"), "left_semi")
@@ -96,10 +92,6 @@ def _resolve(counts: NodeCounts, bound: DataFrame) -> DataFrame:
     return exact.join(bounds, _same(column, "b__"), "inner").select(*column, "value__", "count__", "bound__", "total__")
 
 
-def _totals(counts: NodeCounts) -> DataFrame:
-    return counts.held.groupBy(*counts.column).agg(F.sum("held__").alias("total__")).where("total__ > 0")
-
-
 def values_above_share(counts: NodeCounts, share: float, value: str = "value") -> DataFrame:
     """Values that make up at least ``share`` of their column: column keys, value, n, share.
 
@@ -107,7 +99,7 @@ def values_above_share(counts: NodeCounts, share: float, value: str = "value") -
     Null values are never returned; columns without any counted row give none. Values compare exactly
     as they stand, and may be of any length.
     """
-    bound = _totals(counts).withColumn("bound__", F.lit(float(share)) * F.col("total__"))
+    bound = counts.totals.withColumn("bound__", F.lit(float(share)) * F.col("total__"))
     exact = _resolve(counts, bound)
     return exact.where(F.col("count__") / F.col("total__") >= F.lit(float(share))).select(
         *counts.column, F.col("value__").alias(value), F.col("count__").alias("n"), (F.col("count__") / F.col("total__")).alias("share")
@@ -128,7 +120,7 @@ def top_k(counts: NodeCounts, k: int, value: str = "value") -> DataFrame:
     order = Window.partitionBy(*column).orderBy(F.col("count__").desc(), F.col("value__")) if column else Window.partitionBy(F.lit(1)).orderBy(F.col("count__").desc(), F.col("value__"))
     ranked = partial.withColumn("rank__", F.row_number().over(order)).where(F.col("rank__") <= k)
     lower = ranked.groupBy(*column).agg(F.when(F.max("rank__") == k, F.min("count__")).otherwise(0.0).alias("bound__"))
-    totals = _renamed(_totals(counts), column, "t__")
+    totals = _renamed(counts.totals, column, "t__")
     bound = lower.join(totals, _same(column, "t__"), "inner").select(*column, "bound__", "total__")
     exact = _resolve(counts, bound)
     # counts within rounding of each other are one count, however their parts were added up
