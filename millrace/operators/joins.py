@@ -11,16 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import estimated_bytes
+
 #: bytes up to which a side may be broadcast, by the optimizer's estimate
 BROADCAST_BYTES = 64 << 20
 _HINTS = {"hash": "shuffle_hash", "merge": "merge"}
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of ``df`` as the optimizer estimates it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def equi_join(left: DataFrame, right: DataFrame, condition: Column, strategy: str | None = None) -> DataFrame:
     """Inner join; ``strategy`` is None, ``hash``, ``merge`` or ``broadcast`` (the right side).
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import shuffle_width
+from millrace.session import partitions_for
 
 INSERT, UPDATE, DELETE = 1, 2, 3
 #: rows of a partition replayed at once; a key that goes on is carried over
@@ -126,7 +126,7 @@ def _replay_partition(n_keys: int, n_values: int, step: Callable[[pa.Table, int,
 def _in_order(changes: DataFrame, keys: Sequence[str], seq: str, op: str, set_bits: str, values: Sequence[str]) -> DataFrame:
     order = [*keys, seq]
     picked = changes.select(*keys, F.col(seq).cast("long").alias(seq), F.col(op).cast("int").alias(op), F.col(set_bits).cast("long").alias(set_bits), *values)
-    return picked.repartitionByRange(shuffle_width(changes.sparkSession), *order).sortWithinPartitions(*order)
+    return picked.repartitionByRange(partitions_for(picked), *order).sortWithinPartitions(*order)
 
 
 def partial_states(changes: DataFrame, keys: Sequence[str], seq: str, op: str, set_bits: str, values: Sequence[str]) -> DataFrame:

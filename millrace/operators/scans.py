@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import compare, constant
-from millrace.session import shuffle_width
+from millrace.session import partitions_for
 
 
 def scan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -99,4 +99,4 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def cluster_by(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Rows laid out for lookups by ``keys``: range-partitioned and sorted, to be written as Parquet."""
-    return df.repartitionByRange(partitions or shuffle_width(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    return df.repartitionByRange(partitions or partitions_for(df), *keys).sortWithinPartitions(*keys)

@@ -41,6 +41,23 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: bytes of input, by the optimizer's estimate, that a partition is meant to hold
+PARTITION_BYTES = 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of ``df`` as the optimizer estimates it from file sizes, at most where it filters."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partitions for an operator that holds one of them at a time: as the session says, or more for large inputs."""
+    size = estimated_bytes(df)
+    # without an estimate the optimizer assumes the largest size there is
+    needed = size // PARTITION_BYTES + 1 if size < 1 << 60 else 1
+    return max(shuffle_width(df.sparkSession), min(needed, 1 << 20))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the written copy.
 
