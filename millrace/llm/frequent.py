@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import shuffle_width
+from millrace.session import partitions_for
 
 #: slack for comparing sums of doubles that were added in different orders
 _SLACK = 1 - 1e-9
@@ -39,7 +39,7 @@ def count_segments(entries: DataFrame, column: Sequence[str], segment: Sequence[
     count once; null frequencies and sizes add nothing; the null value is not a candidate, but its
     segment counts in the total. No rows give no counts; other columns are ignored, whatever their names.
     """
-    nodes = nodes or shuffle_width(entries.sparkSession)
+    nodes = nodes or partitions_for(entries)
     keys = [*column, *segment]
     placed = entries.select(
         F.pmod(F.xxhash64(*keys, value), F.lit(nodes)).alias("node__"), *keys, F.col(value).alias("value__"),
@@ -49,7 +49,9 @@ def count_segments(entries: DataFrame, column: Sequence[str], segment: Sequence[
     # Both branches ask for both numbers, so that their exchange is the same one and runs once
     both = F.coalesce(F.col("size__"), F.lit(0)) + F.coalesce(F.col("count__"), F.lit(0.0)) >= 0
     once = placed.groupBy("node__", *keys, "value__").agg(F.max("count__").alias("count__"), F.max("size__").alias("size__"))
-    local = once.groupBy("node__", *column, "value__").agg(F.sum("count__").alias("count__"), F.max("size__").alias("size__")).where(both & F.expr("value__ IS NOT NULL AND count__ > 0")).drop("size__")
+    # a filter on the value itself would be pushed below the exchange and make it another one
+    counted = once.groupBy("node__", *column, "value__").agg(F.sum("count__").alias("count__"), F.max("size__").alias("size__"), F.max(F.col("value__").isNotNull()).alias("known__"))
+    local = counted.where(both & F.expr("known__ AND count__ > 0")).select("node__", *column, "value__", "count__")
     sizes = once.groupBy(*keys).agg(F.max("size__").alias("size__"), F.max("count__").alias("count__")).where(both)
     return NodeCounts(local, sizes.groupBy(*column).agg(F.sum("size__").alias("total__")).where("total__ > 0"), column, nodes)
 
@@ -61,7 +63,7 @@ def count_rows(df: DataFrame, value: str, column: Sequence[str] = (), nodes: int
     whole row), which spreads a value that holds most of the rows. Null values are not candidates but
     count in the total.
     """
-    nodes = nodes or shuffle_width(df.sparkSession)
+    nodes = nodes or partitions_for(df)
     salted = df.select(*column, F.col(value).alias("value__"), F.pmod(F.xxhash64(*df.columns), F.lit(16)).alias("salt__"))
     counted = salted.groupBy(*column, "value__", "salt__").agg(F.count(F.lit(1)).cast("double").alias("count__"))
     placed = counted.withColumn("node__", F.pmod(F.xxhash64("value__", "salt__"), F.lit(nodes)))
@@ -87,7 +89,7 @@ def _resolve(counts: NodeCounts, bound: DataFrame) -> DataFrame:
     above = counts.local.join(bounds, _same(column, "b__"), "inner").where(F.col("count__") >= F.col("bound__") / counts.nodes * _SLACK)
     fetched = _renamed(above.select(*column, F.col("value__").alias("fetched__")).distinct(), column, "f__")
     # left_semi keeps the counts of every node, also where the value stays below the node's share
-    exact = counts.local.join(fetched, (F.col("value__") == F.col("fetched__")) & _same(column, "f__"), "left_semi")
+    exact = counts.local.join(fetched, F.col("value__").eqNullSafe(F.col("fetched__")) & _same(column, "f__"), "left_semi")
     exact = exact.groupBy(*column, "value__").agg(F.sum("count__").alias("count__"))
     return exact.join(bounds, _same(column, "b__"), "inner").select(*column, "value__", "count__", "bound__", "total__")
 

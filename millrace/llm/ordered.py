@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from millrace.session import cut_lineage, shuffle_width
+from millrace.session import cut_lineage, partitions_for
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ def starts_of_groups(table: pa.Table, group: Sequence[str]) -> np.ndarray:
 def sort_once(df: DataFrame, group: Sequence[str], then: Sequence[str]) -> DataFrame:
     """``df`` range-partitioned and sorted by group and ``then``, written to the shared folder."""
     order = [*group, *then]
-    return cut_lineage(df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order))
+    return cut_lineage(df.repartitionByRange(partitions_for(df), *order).sortWithinPartitions(*order))
 
 
 def _edges_of_partition(group: Sequence[str], weight: str):
