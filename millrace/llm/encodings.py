@@ -73,12 +73,18 @@ def by_decoder(pairs: Iterable[tuple[str, str]]) -> dict[str, list[str]]:
 def undo(text: str, pairs: dict[str, list[str]]) -> dict[str, tuple[str, str]]:
     """Texts that ``text`` may have been, each with the first pair that gives it."""
     out: dict[str, tuple[str, str]] = {}
+    #: codecs tried on bytes: relatives encode most texts to the same ones
+    tried: dict[bytes, set[str]] = {}
     for w, rights in pairs.items():
         try:
             raw = CODECS[w].encode(text)
         except UnicodeError:
             continue
+        done = tried.setdefault(raw, set())
         for r in rights:
+            if r in done:
+                continue
+            done.add(r)
             try:
                 was = CODECS[r].decode(raw)
             except UnicodeError:
