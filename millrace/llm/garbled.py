@@ -279,9 +279,49 @@ def restore_lines(lines: DataFrame, model: Broadcast, learned: list[tuple[str, s
     return lines.select("line").mapInArrow(judge, "line string, restored string, undone string")
 
 
-def garbled_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _fits(damaged: str, whole: str) -> bool:
+    """Whether ``whole`` is ``damaged`` with characters where the other has replacement characters.
+
+    A character may have become one to three of them.
+    """
+    pieces = re.split("(�+)", damaged)
+    pattern = "".join(f"[^\\x00-\\x7f]{{{-(-len(x) // 3)},{len(x)}}}" if x.startswith("�") else re.escape(x) for x in pieces)
+    return "�" not in whole and re.fullmatch(pattern, whole) is not None
+
+
+def repair_lost(lost: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Lines with replacement characters (``line``), with ``restored`` where twins say what stood there.
+
+    A line is put together from its undamaged twin or from those of its words; unless all of it can be
+    told, ``restored`` is null.
+    """
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [_fits(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, out = batch.column(0).to_pylist(), []
+            for line, known in zip(lines, batch.column(1).to_pylist()):
+                whole = {x["piece"]: x["whole"] for x in known or []}
+                text = whole.get(line) or "".join(whole.get(w, w) for w in re.split(r"([ \t\x0b\x0c]+)", line))
+                out.append(None if _LOST.search(text) else text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(["lost"] * len(lines), pa.string())], names=["line", "restored", "undone"])
+
+    known = pairs.where(F.contains("a", F.lit("�"))).select("a", "b").mapInArrow(fitting, "a string, b string").groupBy("a").agg(F.min("b").alias("whole"))
+    pieces = lost.select("line", F.explode(F.array_distinct(F.concat(F.array("line"), F.split("line", r"[ \t\x0b\x0c]+")))).alias("piece")).where(F.contains("piece", F.lit("�")))
+    told = pieces.join(known, F.col("piece") == F.col("a"), "left").groupBy("line").agg(F.collect_list(F.when(F.col("whole").isNotNull(), F.struct("piece", "whole"))).alias("known"))
+    return told.mapInArrow(put_together, "line string, restored string, undone string")
+
+
+def garbled_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", repair: bool = True) -> DataFrame:
     """Columns ``doc_id``, ``line``, ``restored``, ``undone``: every garbled line of every document, once.
 
+    ``restored`` is null where it cannot be told what stood there; with ``repair`` off, that is every
+    line with replacement characters.
+
     Null, empty and pure ASCII texts hold none; rows without an id are left out; repeated rows count
     once; an empty table gives no rows. Lines of any length are judged whole. A replacement character
     between quotes is taken as meant. Other columns are ignored, whatever their names.
@@ -290,15 +330,21 @@ def garbled_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     found = cut_lineage(records(documents, doc_id, text))
     lines = cut_lineage(found.groupBy("line").agg(F.count(F.lit(1)).alias("n")))
     model = spark.sparkContext.broadcast(count_model(lines))
-    learned = learn(twins(found, lines), lines, model)
-    bad = restore_lines(lines, model, learned).withColumnRenamed("line", "bad")
+    pairs = twins(found, lines)
+    if repair:
+        pairs = cut_lineage(pairs)
+    bad = restore_lines(lines, model, learn(pairs, lines, model))
+    if repair:
+        bad = cut_lineage(bad)
+        bad = bad.where("undone <> 'lost'").unionByName(repair_lost(bad.where("undone = 'lost'"), pairs))
+    bad = bad.withColumnRenamed("line", "bad")
     return found.join(bad, F.col("line") == F.col("bad"), "inner").select(F.col("doc").alias(doc_id), "line", "restored", "undone").distinct()
 
 
 def restored_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns ``doc_id``, ``text``, ``garbled_lines``, ``restored_lines``: affected documents as they were, as far as can be.
 
-    Lines that cannot be restored stay as they are. See ``garbled_lines`` for nulls and repeats.
+    Lines that cannot be restored stay as they are; a text that stands twice under an id comes out twice. See ``garbled_lines`` for nulls and repeats.
     """
     lines = garbled_lines(documents, doc_id, text).groupBy(F.col(doc_id).alias("bad_doc")).agg(F.collect_list(F.struct("line", "restored")).alias("lines"))
     texts = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL").distinct()

@@ -52,6 +52,11 @@ def test_alignment():
     assert ("cp1252", "utf_8") in G._explained("Ã¼", "ü") and G._explained("x", "ü") == ()
 
 
+def test_damaged_words_fit_whole_ones():
+    assert G._fits("Gr��e", "Größe") and G._fits("l��schen", "löschen") and G._fits("\u6570�", "\u6570\u503c")
+    assert not G._fits("Gr��e", "Gr\ufffdße") and not G._fits("l�schen", "lösche") and not G._fits("�", "für")
+
+
 def test_score_of_parts_is_the_score_of_each():
     lines = [t for _, t in texts(1, 50)]
     import numpy as np
@@ -75,15 +80,15 @@ def test_held_out_accuracy(spark):
                 continue
         docs.append((i, text, "x"))
     # replacement characters, meant and not
-    docs += [(9001, "// Gr�ße l�schen", ""), (9002, 'BAD = "�"', ""), (9003, None, ""), (9004, "", ""), (None, "Ã¼ber", ""), (9005, "﻿plain", "")]
+    docs += [(9001, "// Gr�ße l�schen", ""), (9006, "// �nknown", ""), (9002, 'BAD = "�"', ""), (9003, None, ""), (9004, "", ""), (None, "Ã¼ber", ""), (9005, "﻿plain", "")]
     df = spark.createDataFrame(docs, "doc_id long, text string, line string").repartition(3)
     found = {r.doc_id: r for r in G.restored_documents(df).collect()}
-    want = set(truth) | {9001}
+    want = set(truth) | {9001, 9006}
     assert len(set(found) & want) >= 0.98 * len(want)
     assert len(set(found) - want) <= 0.02 * len(want)
     same = sum(found[i].text == t for i, t in truth.items() if i in found)
     assert same >= 0.95 * len(truth)
-    assert found[9001].restored_lines == 0 and 9002 not in found
+    assert found[9001].text == "// Größe löschen" and found[9006].restored_lines == 0 and found[9006].text == "// �nknown" and 9002 not in found
 
 
 def test_wide_text_restores_line_ends(spark):
