@@ -52,9 +52,9 @@ def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     """Columns ``doc``, ``source``, ``content``, ``tokens``: whole texts in tokens of a public tokenizer.
 
     Sources are compared without letter case and surrounding blanks. ``content`` identifies equal
-    texts. Rows without an id, source or text are left out, and so are texts without tokens.
+    texts. Rows without an id or text are left out, and so are texts without tokens; a source may be null.
     """
-    picked = documents.select(F.col(doc_id).alias("doc"), F.lower(F.trim(source)).alias("source"), F.col(text).alias("text")).where("doc IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL AND text <> ''")
+    picked = documents.select(F.col(doc_id).alias("doc"), F.lower(F.trim(source)).alias("source"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL AND text <> ''")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(tokenizer, pattern).encode_ordinary
@@ -161,10 +161,16 @@ def plan_mixture(patterns: dict[str, int], targets: dict[str, Target], total: in
     return Plan(flows, {s: quotas.get(s, 0) for s in targets})
 
 
-def mix(tokens: DataFrame, targets: dict[str, Target], total: int | None = None, seed: int = 0) -> DataFrame:
+#: as many tokens as all documents have
+ALL = "all"
+
+
+def mix(tokens: DataFrame, targets: dict[str, Target], total: int | str | None = None, seed: int = 0) -> DataFrame:
     """Columns ``doc_id``, ``source``, ``copies``, ``tokens`` (of one copy): the mixture.
 
-    ``tokens`` comes from ``count_tokens``. Equal texts are used as one: each of them no more often in
+    ``total`` is the size shares are taken of: a number of tokens, ``ALL`` for as many as the documents
+    have, sources without a target included, or None for the most at which all shares can be reached
+    (see ``plan_mixture``). ``tokens`` comes from ``count_tokens``. Equal texts are used as one: each of them no more often in
     all than the largest number of repetitions of its sources, and for a source no more often than that
     source allows. The row names, of the documents with that text in that source, the one with the
     smallest id. Which texts are taken depends on ``seed`` and their content only. Sources reach their
@@ -179,6 +185,8 @@ def mix(tokens: DataFrame, targets: dict[str, Target], total: int | None = None,
     sums = run.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} combinations of sources occur")
+    if total == ALL:
+        total = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     plan = plan_mixture({r.pattern: r.tokens for r in sums}, targets, total)
     shared = spark.sparkContext.broadcast(plan.flows)
     edges = ordered.edges(run, ["pattern"], "tokens")
@@ -215,7 +223,7 @@ def mix(tokens: DataFrame, targets: dict[str, Target], total: int | None = None,
     return ordered.map_partitions(run, choose, f"doc_id {kind}, source string, copies int, tokens bigint")
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 0, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """The mixture of ``documents`` (doc_id, source, text) for ``targets`` (source, target_share, max_repeats).
 
     See ``count_tokens``, ``read_targets``, ``plan_mixture`` and ``mix`` for nulls, repeats and rounding.

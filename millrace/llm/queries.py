@@ -80,12 +80,19 @@ def p6_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return mixture.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_target"))
+    """Every source filled up to its share of all tokens, as far as it has them."""
+    return mixture.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_target"), mixture.ALL)
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     """The shares actually reached."""
     targets = table(spark, sf, "mix_target")
+    return mixture.reached_shares(mixture.mixture(table(spark, sf, "documents"), targets, mixture.ALL), targets)
+
+
+def p7_balanced_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares reached by the largest mixture that gives every source with documents its share."""
+    targets = table(spark, sf, "mix_target")
     return mixture.reached_shares(mixture.mixture(table(spark, sf, "documents"), targets), targets)
 
 
@@ -104,6 +111,6 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found, "p2_top_values": p2_top_values, "p2_top_departments": p2_top_departments,
         "p4_found": p4_found,
         "p6_found": p6_found, "p6_spans": p6_spans,
-        "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+        "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_balanced_shares": p7_balanced_shares,
         "p8_found": p8_found, "p8_restored": p8_restored,
     }

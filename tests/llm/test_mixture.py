@@ -77,6 +77,19 @@ def test_mixture(spark, seed):
     assert shares["small"].tokens == sum(c * t for _, s, c, t in found if s == "small")
 
 
+def test_shares_of_all_tokens(spark):
+    docs = documents(9)
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string, tokens string")
+    targets = spark.createDataFrame([("big", 0.3, 1), ("small", 0.7, 2), ("missing", 0.1, 5)], "source string, target_share double, max_repeats int")
+    tokens = {r.doc: (r.source, r.tokens) for r in M.count_tokens(df, tokenizer=TOKENIZER).collect()}
+    whole = sum(r.tokens for r in M.count_tokens(df, tokenizer=TOKENIZER).collect())
+    got = {r.source: r for r in M.reached_shares(M.mixture(df, targets, M.ALL, tokenizer=TOKENIZER), targets).collect()}
+    assert abs(got["big"].tokens - 0.3 * whole) < 200 and got["small"].most_copies == 2
+    # small is short of texts: it takes every one of its own as often as it may
+    own = {t: tokens[d][1] for d, s, t, _ in docs if d is not None and s and s.strip().lower() == "small" and t}
+    assert got["small"].tokens == 2 * sum(own.values()) and abs(got["small"].share - got["small"].tokens / (got["small"].tokens + got["big"].tokens)) < 1e-9
+
+
 def test_whole_texts_are_counted(spark):
     import tiktoken  # noqa: F401
 
