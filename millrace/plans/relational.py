@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 from millrace.functions.expressions import arithmetic, both, compare, either, is_true
 from millrace.operators import aggregates, joins, ordering, scans, setops, stats, transforms, verify
 from millrace.plans.engine import Engine, explain
-from millrace.session import table
+from millrace.session import shared_folder, table
 from millrace.sources.tables import ColumnDef
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,10 +485,8 @@ def compound_order_limit(spark, sf):
 
 
 def _engine(spark: SparkSession) -> Engine:
-    """An engine in the shared folder, or in a temporary one where no cluster names any."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='millrace-tables-')}"
-    return Engine(spark, root)
+    """An engine with tables of its own in the shared folder."""
+    return Engine(spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}")
 
 
 _KINDS = {T.IntegerType(): "INT", T.LongType(): "BIGINT", T.DoubleType(): "DOUBLE", T.BooleanType(): "BOOLEAN", T.StringType(): "VARCHAR(200)"}

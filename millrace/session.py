@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +70,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+_own_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share; a temporary one where the session names none, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = f"file://{tempfile.mkdtemp(prefix='millrace-shared-')}"
+    return _own_folders[app]
+
+
+def write_out(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: compact, read with pushdown, computed once."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -140,8 +140,8 @@ class TableStore:
 
     def _commit(self, name: str, version: int, table: TableDef, parts: tuple[str, ...], operation: str) -> None:
         text = json.dumps({"table": table.to_json(), "parts": list(parts), "operation": operation})
-        taken = version - 1 in self._commits(name) or version == 1
-        if not taken or not self.storage.publish(f"{name}/commits/{version:012d}.json", text):
+        follows = version == 1 or version - 1 in self._commits(name)
+        if not follows or not self.storage.publish(f"{name}/commits/{version:012d}.json", text):
             raise ConflictError(f"{name} was changed by another writer")
         self.on_step("committed")
 
