@@ -7,6 +7,9 @@ a value that stays below its share on every node cannot reach the bound altogeth
 the fetched values exactly over all nodes. No node sends more than the values above its share, however
 many distinct values there are.
 
+Node counts are written once, so that the phases read them without counting again; what the phases send
+is broadcast while it is small, and shuffled otherwise.
+
 Rows are spread by a hash that keeps repeated rows together and nothing else, so that neither a frequent
 value nor a large segment ends up on one node, and the nodes' shares are equal.
 """
@@ -18,10 +21,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import partitions_for
+from millrace.session import partitions_for, write_out
 
 #: slack for comparing sums of doubles that were added in different orders
 _SLACK = 1 - 1e-9
+#: bytes of leaders and bounds that are broadcast
+BROADCAST_BYTES = 32 << 20
 
 
 class NodeCounts:
@@ -43,17 +48,13 @@ def count_segments(entries: DataFrame, column: Sequence[str], segment: Sequence[
     keys = [*column, *segment]
     placed = entries.select(
         F.pmod(F.xxhash64(*keys, value), F.lit(nodes)).alias("node__"), *keys, F.col(value).alias("value__"),
-        (F.col(frequency) * F.col(size)).cast("double").alias("count__"), F.col(size).cast("long").alias("size__"),
+        (F.col(frequency) * F.col(size)).cast("double").alias("count__"),
     ).repartition(nodes, "node__")
-    # repeated rows are on one node, and the node is part of the keys: no further shuffle for counting.
-    # Both branches ask for both numbers, so that their exchange is the same one and runs once
-    both = F.coalesce(F.col("size__"), F.lit(0)) + F.coalesce(F.col("count__"), F.lit(0.0)) >= 0
-    once = placed.groupBy("node__", *keys, "value__").agg(F.max("count__").alias("count__"), F.max("size__").alias("size__"))
-    # a filter on the value itself would be pushed below the exchange and make it another one
-    counted = once.groupBy("node__", *column, "value__").agg(F.sum("count__").alias("count__"), F.max("size__").alias("size__"), F.max(F.col("value__").isNotNull()).alias("known__"))
-    local = counted.where(both & F.expr("known__ AND count__ > 0")).select("node__", *column, "value__", "count__")
-    sizes = once.groupBy(*keys).agg(F.max("size__").alias("size__"), F.max("count__").alias("count__")).where(both)
-    return NodeCounts(local, sizes.groupBy(*column).agg(F.sum("size__").alias("total__")).where("total__ > 0"), column, nodes)
+    # repeated rows are on one node, and the node is part of the keys: no further shuffle for counting
+    once = placed.groupBy("node__", *keys, "value__").agg(F.max("count__").alias("count__"))
+    local = once.groupBy("node__", *column, "value__").agg(F.sum("count__").alias("count__")).where("value__ IS NOT NULL AND count__ > 0")
+    sizes = entries.select(*keys, F.col(size).cast("long").alias("size__")).groupBy(*keys).agg(F.max("size__").alias("size__"))
+    return NodeCounts(write_out(local), sizes.groupBy(*column).agg(F.sum("size__").alias("total__")).where("total__ > 0"), column, nodes)
 
 
 def count_rows(df: DataFrame, value: str, column: Sequence[str] = (), nodes: int | None = None) -> NodeCounts:
@@ -67,7 +68,7 @@ def count_rows(df: DataFrame, value: str, column: Sequence[str] = (), nodes: int
     salted = df.select(*column, F.col(value).alias("value__"), F.pmod(F.xxhash64(*df.columns), F.lit(16)).alias("salt__"))
     counted = salted.groupBy(*column, "value__", "salt__").agg(F.count(F.lit(1)).cast("double").alias("count__"))
     placed = counted.withColumn("node__", F.pmod(F.xxhash64("value__", "salt__"), F.lit(nodes)))
-    local = placed.groupBy("node__", *column, "value__").agg(F.sum("count__").alias("count__"))
+    local = write_out(placed.groupBy("node__", *column, "value__").agg(F.sum("count__").alias("count__")))
     return NodeCounts(local.where("value__ IS NOT NULL"), local.groupBy(*column).agg(F.sum("count__").alias("total__")), column, nodes)
 
 
@@ -82,14 +83,23 @@ def _renamed(df: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
     return df.select(*(F.col(n).alias(f"{prefix}{i}") for i, n in enumerate(names)), *(c for c in df.columns if c not in names))
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if a count of its bytes allows it, to be shuffled otherwise."""
+    texts = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"]
+    size = F.lit(8 * len(df.columns))
+    for t in texts:
+        size = size + F.coalesce(t, F.lit(0))
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_BYTES else df
+
+
 def _resolve(counts: NodeCounts, bound: DataFrame) -> DataFrame:
     """Exact counts of all values that can reach ``bound`` (column keys, bound__, total__)."""
     column = counts.column
-    bounds = _renamed(bound, column, "b__")
+    bounds = _sent(write_out(_renamed(bound, column, "b__")))
     above = counts.local.join(bounds, _same(column, "b__"), "inner").where(F.col("count__") >= F.col("bound__") / counts.nodes * _SLACK)
-    fetched = _renamed(above.select(*column, F.col("value__").alias("fetched__")).distinct(), column, "f__")
+    fetched = _sent(write_out(_renamed(above.select(*column, F.col("value__").alias("fetched__")).distinct(), column, "f__")))
     # left_semi keeps the counts of every node, also where the value stays below the node's share
-    exact = counts.local.join(fetched, F.col("value__").eqNullSafe(F.col("fetched__")) & _same(column, "f__"), "left_semi")
+    exact = counts.local.join(fetched, (F.col("value__") == F.col("fetched__")) & _same(column, "f__"), "left_semi")
     exact = exact.groupBy(*column, "value__").agg(F.sum("count__").alias("count__"))
     return exact.join(bounds, _same(column, "b__"), "inner").select(*column, "value__", "count__", "bound__", "total__")
 
