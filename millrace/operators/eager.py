@@ -105,7 +105,6 @@ def heavy_keys(states: DataFrame, key: str, share: float) -> DataFrame:
     Null keys count in the total but are never returned. No rows in, no rows out.
     """
     total = states.agg(F.coalesce(F.sum("joined_rows"), F.lit(0)).alias("n")).scalar()
-    return (
-        states.groupBy(key).agg(F.sum("joined_rows").alias("joined_rows"))
-        .where(F.col(key).isNotNull() & (F.col("joined_rows") >= F.lit(float(share)) * total))
-    )
+    # a filter on the key itself would be pushed into the scan, and the total could not share it
+    by_key = states.groupBy(key).agg(F.sum("joined_rows").alias("joined_rows"), F.max(F.col(key).isNotNull()).alias("known__"))
+    return by_key.where(F.col("known__") & (F.col("joined_rows") >= F.lit(float(share)) * total)).select(key, "joined_rows")
