@@ -133,8 +133,8 @@ def _parts(texts: list[str], weights: np.ndarray) -> Iterator[tuple[list[str], n
         yield texts[start:], weights[start:]
 
 
-def twins(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Columns ``a``, ``b``: texts that are equal when stripped, each against the most frequent one of them.
+def variants(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """Columns ``key``, ``text``, ``n``: texts by what is left of them when stripped, with how often they stand.
 
     Words and lines come from the distinct lines, whole documents' lines from ``records``.
     """
@@ -156,9 +156,14 @@ def twins(found: DataFrame, lines: DataFrame) -> DataFrame:
     parts = lines.select("line", "n").mapInArrow(strip, "key bigint, text string, n bigint")
     copied = found.groupBy("twin").agg(F.min("whole").alias("least"), F.max("whole").alias("most")).where("least <> most").select(F.col("twin").alias("copied"))
     slots = found.join(copied, F.col("twin") == F.col("copied"), "left_semi").select(F.xxhash64("twin", "place").alias("key"), F.col("line").alias("text"), F.lit(1).cast("long").alias("n"))
-    variants = parts.unionByName(slots).groupBy("key", "text").agg(F.sum("n").alias("n"))
-    first = variants.groupBy("key").agg(F.max(F.struct("n", "text")).alias("top"), F.count(F.lit(1)).alias("variants")).where("variants > 1").select(F.col("key").alias("top_key"), F.col("top.text").alias("b"))
-    return variants.join(first, (F.col("key") == F.col("top_key")) & (F.col("text") != F.col("b")), "inner").select(F.col("text").alias("a"), "b").distinct()
+    return parts.unionByName(slots).groupBy("key", "text").agg(F.sum("n").alias("n"))
+
+
+def twins(texts: DataFrame) -> DataFrame:
+    """Columns ``a``, ``b``: texts without replacement characters under one key of ``variants``, each against the most frequent one of them."""
+    sound = texts.where(~F.contains("text", F.lit("�")))
+    first = sound.groupBy("key").agg(F.max(F.struct("n", "text")).alias("top"), F.count(F.lit(1)).alias("variants")).where("variants > 1").select(F.col("key").alias("top_key"), F.col("top.text").alias("b"))
+    return sound.join(first, (F.col("key") == F.col("top_key")) & (F.col("text") != F.col("b")), "inner").select(F.col("text").alias("a"), "b").distinct()
 
 
 @lru_cache(maxsize=1 << 14)
@@ -195,8 +200,7 @@ def learn(pairs: DataFrame, lines: DataFrame, model: Broadcast) -> list[tuple[st
             better = model.value.score_all(left) < model.value.score_all(right)
             for a, b, b_is_clean in zip(left, right, better):
                 garbled, clean = (a, b) if b_is_clean else (b, a)
-                if "�" not in garbled + clean:
-                    votes.update({p for run in align(garbled, clean) for p in _explained(*run)})
+                votes.update({p for run in align(garbled, clean) for p in _explained(*run)})
         yield _vote_rows("twin", votes)
 
     def gain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,11 +293,11 @@ def _fits(damaged: str, whole: str) -> bool:
     return "�" not in whole and re.fullmatch(pattern, whole) is not None
 
 
-def repair_lost(lost: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Lines with replacement characters (``line``), with ``restored`` where twins say what stood there.
+def undamaged(texts: DataFrame) -> DataFrame:
+    """Columns ``a``, ``whole``: texts with replacement characters, each with the most frequent of all texts under its keys that fit it.
 
-    A line is put together from its undamaged twin or from those of its words; unless all of it can be
-    told, ``restored`` is null.
+    ``texts`` comes from ``variants``; equally frequent ones count in order of the text. A text that fits
+    has runs beyond ASCII at the same places, so only texts of the same shape are compared.
     """
 
     def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,6 +305,21 @@ def repair_lost(lost: DataFrame, pairs: DataFrame) -> DataFrame:
             keep = [_fits(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
+    shaped = texts.withColumn("shape", F.xxhash64(F.regexp_replace("text", r"[^\x00-\x7f]+", "�")))
+    lost = F.contains("text", F.lit("�"))
+    damaged = shaped.where(lost).select(F.col("key").alias("lost_key"), F.col("shape").alias("lost_shape"), F.col("text").alias("a"))
+    both = damaged.join(shaped.where(~lost), (F.col("lost_key") == F.col("key")) & (F.col("lost_shape") == F.col("shape")), "inner")
+    fits = both.select("a", F.col("text").alias("b"), "n").mapInArrow(fitting, "a string, b string, n bigint")
+    return fits.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("rank"), "b")).alias("best")).select("a", F.col("best.b").alias("whole"))
+
+
+def repair_lost(lost: DataFrame, known: DataFrame) -> DataFrame:
+    """Lines with replacement characters (``line``), with ``restored`` where twins (``known``, of ``undamaged``) say what stood there.
+
+    A line is put together from its undamaged twin or from those of its words; unless all of it can be
+    told, ``restored`` is null.
+    """
+
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines, out = batch.column(0).to_pylist(), []
@@ -310,7 +329,6 @@ def repair_lost(lost: DataFrame, pairs: DataFrame) -> DataFrame:
                 out.append(None if _LOST.search(text) else text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(["lost"] * len(lines), pa.string())], names=["line", "restored", "undone"])
 
-    known = pairs.where(F.contains("a", F.lit("�"))).select("a", "b").mapInArrow(fitting, "a string, b string").groupBy("a").agg(F.min("b").alias("whole"))
     pieces = lost.select("line", F.explode(F.array_distinct(F.concat(F.array("line"), F.split("line", r"[ \t\x0b\x0c]+")))).alias("piece")).where(F.contains("piece", F.lit("�")))
     told = pieces.join(known, F.col("piece") == F.col("a"), "left").groupBy("line").agg(F.collect_list(F.when(F.col("whole").isNotNull(), F.struct("piece", "whole"))).alias("known"))
     return told.mapInArrow(put_together, "line string, restored string, undone string")
@@ -330,13 +348,13 @@ def garbled_lines(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     found = cut_lineage(records(documents, doc_id, text))
     lines = cut_lineage(found.groupBy("line").agg(F.count(F.lit(1)).alias("n")))
     model = spark.sparkContext.broadcast(count_model(lines))
-    pairs = twins(found, lines)
+    texts = variants(found, lines)
     if repair:
-        pairs = cut_lineage(pairs)
-    bad = restore_lines(lines, model, learn(pairs, lines, model))
+        texts = cut_lineage(texts)
+    bad = restore_lines(lines, model, learn(twins(texts), lines, model))
     if repair:
         bad = cut_lineage(bad)
-        bad = bad.where("undone <> 'lost'").unionByName(repair_lost(bad.where("undone = 'lost'"), pairs))
+        bad = bad.where("undone <> 'lost'").unionByName(repair_lost(bad.where("undone = 'lost'"), undamaged(texts)))
     bad = bad.withColumnRenamed("line", "bad")
     return found.join(bad, F.col("line") == F.col("bad"), "inner").select(F.col("doc").alias(doc_id), "line", "restored", "undone").distinct()
 

@@ -117,3 +117,21 @@ def test_short_texts_score(text):
 
     model = E.Model(*E.count_pairs(["für"], np.ones(1, dtype=np.int64)))
     assert np.isfinite(model.score([text, text])).all()
+
+
+def test_damaged_lines_find_a_fitting_twin_among_all(spark):
+    docs = [(i, t) for i, (_, t) in enumerate(texts(7, 300))]
+    cases = [
+        # as often damaged as whole; more often damaged; the most frequent text of the key has other punctuation, or another accent
+        ("# Spe��cher räumen", ["# Speécher räumen"], []), ("# Zw��lf Kürbisse", ["# Zwölf Kürbisse"], [("# Zw��lf Kürbisse", 3)]),
+        ("# Kr��te hüpft gern", ["# Kröte hüpft gern"], [("# Kröte hüpft gern!", 4)]), ("# G��nse fliegen süd", ["# Gänse fliegen süd"], [("# Gnsé fliegen süd", 4)]),
+        # of two that fit, the more frequent one
+        ("# D��cher decken früh", ["# Dächer decken früh"] * 3, [("# Döcher decken früh", 2)]),
+    ]
+    want = {}
+    for i, (damaged, whole, more) in enumerate(cases):
+        copies = [damaged, *whole, *(t for t, n in more for _ in range(n))]
+        docs += [(2000 + 100 * i + k, f"{t}\nint g{i}_{k};") for k, t in enumerate(copies)]
+        want |= {2000 + 100 * i + k: f"{whole[0]}\nint g{i}_{k};" for k, t in enumerate(copies) if t == damaged}
+    found = {r.doc_id: r.text for r in G.restored_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {d: t for d, t in found.items() if d >= 2000} == want
