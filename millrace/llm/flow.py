@@ -56,13 +56,3 @@ class Network:
                 self.room[e] -= amount
                 self.room[e ^ 1] += amount
             sent += amount
-
-    def reached(self, source: int) -> set[int]:
-        """Nodes that can be reached with room left: the source's side of a smallest cut."""
-        seen, stack = {source}, [source]
-        while stack:
-            for e in self.out[stack.pop()]:
-                if self.room[e] > 0 and self.head[e] not in seen:
-                    seen.add(self.head[e])
-                    stack.append(self.head[e])
-        return seen

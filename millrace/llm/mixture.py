@@ -1,16 +1,18 @@
 """Mixing overlapping sources to target shares of tokens, by min-cost flow.
 
-Equal texts are one text that belongs to all sources it was delivered by. Texts with the same set of
-sources (the same membership pattern) are interchangeable, so the problem is solved over patterns: a
-pattern offers its tokens once for free and again at a price that rises with every repetition, a source
-takes no text more often than it may be repeated, and each source has to be filled up to its quota. The
-network has at most one node for each pattern that occurs. Its cheapest flow repeats as little as the
+The first documents with equal texts, one for each source, are one text that belongs to all these sources.
+Texts with the same set of sources (the same membership pattern) are interchangeable, so the problem is
+solved over patterns: a pattern offers its tokens once for free and again at a price that rises with every
+repetition, a source takes none of its documents more often than it may be repeated, and each source has to
+be filled up to its quota. Further documents with the same text in a source, by the power of two their
+number has reached, are patterns of that source alone, whose price starts at that number. The
+network has at most one node for each pattern that occurs. Its cheapest flow repeats texts as little as the
 shares allow, and takes texts that several sources share for the source that is short of its own.
 
 The flow says how many tokens of a pattern go to which source; seeded order picks the texts. The tokens
 of a pattern, in that order, are laid out along a line over and over, and each source gets a stretch of
 the line as long as its flow: no longer than the pattern's tokens times the source's repetitions, so no
-text comes more often than it may.
+document comes more often than it may.
 """
 
 from __future__ import annotations
@@ -104,30 +106,43 @@ class Plan:
     quotas: dict[str, int]
 
 
-def _network(patterns: dict[str, int], targets: dict[str, Target], quotas: dict[str, int]) -> tuple[Network, dict[tuple[str, str], int], dict[str, int], dict[str, int]]:
+def _members(pattern: str) -> tuple[list[str], int]:
+    """Sources of a pattern, and which use of its texts its first one is: the number after a last U+001E, or the first."""
+    names, mark, number = pattern.rpartition("\x1e")
+    return (names if mark else pattern).split("\x1f"), int(number) if mark else 1
+
+
+def _network(patterns: dict[str, int], targets: dict[str, Target], quotas: dict[str, int]) -> tuple[Network, dict[tuple[str, str], int]]:
     pattern_node = {p: 2 + i for i, p in enumerate(sorted(patterns))}
     source_node = {s: 2 + len(patterns) + i for i, s in enumerate(targets)}
     net = Network(2 + len(patterns) + len(targets))
     routes = {}
     for p, node in pattern_node.items():
-        members = [s for s in p.split("\x1f") if s in targets]
-        for again in range(max((targets[s].repeats for s in members), default=0)):
-            net.edge(0, node, patterns[p], again)
+        names, first = _members(p)
+        members = [s for s in names if s in targets]
+        for again in range(sum(targets[s].repeats for s in members)):
+            net.edge(0, node, patterns[p], first - 1 + again)
         for s in members:
             routes[p, s] = net.edge(node, source_node[s], patterns[p] * targets[s].repeats)
     for s, node in source_node.items():
         net.edge(node, 1, quotas.get(s, 0))
-    return net, routes, pattern_node, source_node
+    return net, routes
 
 
 def plan_mixture(patterns: dict[str, int], targets: dict[str, Target], total: int | None = None) -> Plan:
     """Route the tokens of membership patterns (sources joined by U+001F) to source quotas.
 
-    Without ``total`` it is the largest amount at which every source that has any tokens still gets its
+    A pattern holds a document of each of its sources for every text. Without ``total`` it is the largest
+    amount at which every source that has any tokens still gets its
     share; the shares of sources without tokens, which nothing can fill, are left out of the sum. With
     a ``total`` quotas are shares of it and are filled as far as possible.
     """
-    usable = {s for p in patterns for s in p.split("\x1f") if patterns[p] > 0 and s in targets and targets[s].repeats > 0 and targets[s].share > 0}
+    most = {s: 0 for s in targets}
+    for p, tokens in patterns.items():
+        for s in _members(p)[0]:
+            if s in targets:
+                most[s] += tokens * targets[s].repeats
+    usable = [s for s in targets if most[s] > 0 and targets[s].share > 0]
     if not usable:
         return Plan({}, {s: 0 for s in targets})
     if total is not None:
@@ -135,24 +150,10 @@ def plan_mixture(patterns: dict[str, int], targets: dict[str, Target], total: in
     else:
         whole = sum(targets[s].share for s in usable)
         share = {s: targets[s].share / whole for s in usable}
-        most = sum(t * max((targets[s].repeats for s in p.split("\x1f") if s in targets), default=0) for p, t in patterns.items())
-        while True:
-            # the smallest cut names the sources that are short; the amount they can fill is the next try
-            quotas = {s: int(most * share[s]) for s in usable}
-            net, routes, pattern_node, source_node = _network(patterns, targets, quotas)
-            if net.send(0, 1) >= sum(quotas.values()):
-                break
-            near = net.reached(0)
-            short = [s for s in usable if source_node[s] not in near]
-            cut = 0
-            for p, node in pattern_node.items():
-                members = [s for s in p.split("\x1f") if s in targets]
-                if node not in near:
-                    cut += patterns[p] * max((targets[s].repeats for s in members), default=0)
-                else:
-                    cut += sum(patterns[p] * targets[s].repeats for s in members if source_node[s] not in near)
-            most = min(most - 1, int(cut / sum(share[s] for s in short)))
-    net, routes, _, _ = _network(patterns, targets, quotas)
+        # each source has documents of its own, so the one that is shortest sets the amount
+        amount = min(int(most[s] / share[s]) for s in usable)
+        quotas = {s: int(amount * share[s]) for s in usable}
+    net, routes = _network(patterns, targets, quotas)
     net.send(0, 1)
     flows: dict[str, dict[str, int]] = {}
     for (p, s), number in routes.items():
@@ -165,23 +166,39 @@ def plan_mixture(patterns: dict[str, int], targets: dict[str, Target], total: in
 ALL = "all"
 
 
+def _numbered(tokens: DataFrame) -> DataFrame:
+    """Columns ``content``, ``source``, ``doc``, ``tokens``, ``number``: each document once, numbered by id among those with its text and source."""
+    once = tokens.groupBy("content", "source", "doc").agg(F.max("tokens").alias("tokens")).where("tokens > 0").withColumn("one", F.lit(1).cast("long"))
+    run = ordered.sort_once(once, ["content", "source"], ["doc"])
+    edges = ordered.edges(run, ["content", "source"], "one")
+
+    def number(table: pa.Table, pid: int) -> pa.Table:
+        _, before, _, _ = ordered.positions(table, ["content", "source"], "one", edges[pid])
+        return table.drop_columns(["one"]).append_column("number", pa.array(before + 1))
+
+    kind = dict(tokens.dtypes)["doc"]
+    return ordered.map_partitions(run, number, f"content binary, source string, doc {kind}, tokens bigint, number bigint")
+
+
 def mix(tokens: DataFrame, targets: dict[str, Target], total: int | str | None = None, seed: int = 0) -> DataFrame:
     """Columns ``doc_id``, ``source``, ``copies``, ``tokens`` (of one copy): the mixture.
 
     ``total`` is the size shares are taken of: a number of tokens, ``ALL`` for as many as the documents
     have, sources without a target included, or None for the most at which all shares can be reached
-    (see ``plan_mixture``). ``tokens`` comes from ``count_tokens``. Equal texts are used as one: each of them no more often in
-    all than the largest number of repetitions of its sources, and for a source no more often than that
-    source allows. The row names, of the documents with that text in that source, the one with the
-    smallest id. Which texts are taken depends on ``seed`` and their content only. Sources reach their
-    quotas up to one text per pattern. No documents or no targets give no rows.
+    (see ``plan_mixture``). ``tokens`` comes from ``count_tokens``. Every document can be used as often as
+    its source allows; further documents with a text that is used already count as its repetitions and are
+    taken only where distinct texts run short. Repeated rows count once. Which texts are taken depends on
+    ``seed`` and on content and number of the documents only, of those with equal text in a source ones with small ids
+    first. Sources reach their quotas up to one text per pattern. No documents or no targets give no rows.
     """
     spark = tokens.sparkSession
     wanted = [s for s, t in targets.items() if t.share > 0 and t.repeats > 0]
-    by_source = tokens.where(F.col("source").isin(wanted)).groupBy("content", "source").agg(F.min("doc").alias("doc"), F.max("tokens").alias("tokens")).where("tokens > 0")
-    texts = by_source.groupBy("content").agg(F.max("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("source", "doc"))).alias("members"))
-    seeded = texts.select(F.array_join("members.source", "\x1f").alias("pattern"), F.xxhash64(F.lit(seed), "content").alias("place"), "content", "tokens", "members")
-    run = ordered.sort_once(seeded, ["pattern"], ["place", "content"])
+    numbered = _numbered(tokens.where(F.col("source").isin(wanted)))
+    # the first documents of all sources together, further ones for themselves
+    texts = numbered.groupBy("content", "number", F.when(F.col("number") > 1, F.col("source")).alias("alone")).agg(F.max("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("source", "doc"))).alias("members"))
+    pattern = F.concat(F.array_join("members.source", "\x1f"), F.lit("\x1e"), F.expr("shiftleft(1L, length(bin(number)) - 1)").cast("string"))
+    seeded = texts.select(pattern.alias("pattern"), F.xxhash64(F.lit(seed), "content", "number").alias("place"), "content", "number", "tokens", "members")
+    run = ordered.sort_once(seeded, ["pattern"], ["place", "content", "number"])
     sums = run.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} combinations of sources occur")
@@ -204,7 +221,7 @@ def mix(tokens: DataFrame, targets: dict[str, Target], total: int | str | None =
             if not flows:
                 continue
             place = before[bounds[g] : bounds[g + 1]]
-            own = pattern.split("\x1f")
+            own = _members(pattern)[0]
             flat = members.slice(int(start), int(bounds[g + 1] - start)).flatten().field("doc")
             at = 0
             for s, flow in sorted(flows.items()):

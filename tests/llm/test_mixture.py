@@ -106,3 +106,23 @@ def test_no_documents_and_no_targets(spark):
     assert [tuple(r) for r in M.reached_shares(M.mixture(df, targets, tokenizer=TOKENIZER), targets).collect()] == [("a", 1.0, 0, 0.0, 0, 0)]
     some = spark.createDataFrame([(1, "a", "b c")], "doc_id long, source string, text string")
     assert rows(M.mixture(some, targets.limit(0), tokenizer=TOKENIZER)) == []
+
+
+def test_every_document_counts_where_texts_are_copied(spark):
+    same = "one licence text in many documents"
+    docs = [(i, "a", same) for i in range(60)] + [(100 + i, "a", f"text {i}") for i in range(4)] + [(200 + i, "b", same) for i in range(5)] + [(300 + i, "b", f"words {i} of b") for i in range(100)]
+    docs += docs[:3]  # repeated rows
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(3)
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    size = {r.doc: r.tokens for r in M.count_tokens(df, tokenizer=TOKENIZER).collect()}
+    own = {s: {d for d, t, _ in docs if t == s} for s in "ab"}
+    # a large total takes every document as often as it may
+    found = rows(M.mixture(df, targets, 10_000, tokenizer=TOKENIZER))
+    assert found == sorted((d, s, {"a": 2, "b": 1}[s], size[d]) for s in own for d in own[s])
+    # all shares can be reached: b sets the amount, and a fills its half
+    whole = sum(size[d] for d in own["b"])
+    got = {r.source: r for r in M.reached_shares(M.mixture(df, targets, tokenizer=TOKENIZER), targets).collect()}
+    assert abs(got["b"].tokens - whole) <= 1 and abs(got["a"].tokens - whole) < 50
+    # no second document of a text while distinct texts suffice
+    few = rows(M.mixture(df, targets, 24, tokenizer=TOKENIZER))
+    assert sum(d < 60 or 200 <= d < 205 for d, *_ in few) <= 2 and all(c == 1 for _, _, c, _ in few)
