@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import partitions_for
+from millrace.session import map_arrow, partitions_for
 
 INSERT, UPDATE, DELETE = 1, 2, 3
 #: rows of a partition replayed at once; a key that goes on is carried over
@@ -132,13 +132,13 @@ def _in_order(changes: DataFrame, keys: Sequence[str], seq: str, op: str, set_bi
 def partial_states(changes: DataFrame, keys: Sequence[str], seq: str, op: str, set_bits: str, values: Sequence[str]) -> DataFrame:
     """Changes folded to few rows per key, each for all changes between two sequence numbers."""
     parts = _in_order(changes, keys, seq, op, set_bits, values)
-    return parts.mapInArrow(_replay_partition(len(keys), len(values)), parts.schema)
+    return map_arrow(parts, _replay_partition(len(keys), len(values)), parts.schema)
 
 
 def merge_states(states: DataFrame, keys: Sequence[str], seq: str, values: Sequence[str]) -> DataFrame:
     """Fold states of stretches that do not overlap in sequence (partitions, closed periods) to one row per key."""
     parts = states.repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, seq)
-    return parts.mapInArrow(_replay_partition(len(keys), len(values)), parts.schema)
+    return map_arrow(parts, _replay_partition(len(keys), len(values)), parts.schema)
 
 
 def surviving_changes(changes: DataFrame, keys: Sequence[str], seq: str, op: str, set_bits: str, values: Sequence[str]) -> DataFrame:
@@ -148,7 +148,7 @@ def surviving_changes(changes: DataFrame, keys: Sequence[str], seq: str, op: str
     these overlap, can be put together and replayed. Keys cut by a partition may keep some rows more.
     """
     parts = _in_order(changes, keys, seq, op, set_bits, values)
-    return parts.mapInArrow(_replay_partition(len(keys), len(values), _prune), parts.schema)
+    return map_arrow(parts, _replay_partition(len(keys), len(values), _prune), parts.schema)
 
 
 def replay_feed(changes: DataFrame, keys: Sequence[str], seq: str, op: str, set_bits: str, values: Sequence[str]) -> DataFrame:
