@@ -87,6 +87,15 @@ def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Send a file the driver reads to the executors; the name ``SparkFiles.get`` finds it by there."""
+    context = spark.sparkContext
+    if (context.applicationId + path) not in _shipped:
+        context.addFile(path)
+        _shipped.add(context.applicationId + path)
+    return path.rstrip("/").rpartition("/")[2]
+
+
 def _driver_folder() -> str:
     """A folder of this process, removed when it ends."""
     if not _own_folders:
