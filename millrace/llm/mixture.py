@@ -25,18 +25,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import ordered
-from millrace.llm.flow import Network
-from millrace.session import cut_lineage
+from millrace.llm import flow, ordered
+from millrace.session import cut_lineage, map_arrow, ship_file
 
 #: fixed values: the public byte-level BPE file and the pattern that splits text before merging
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: patterns the driver solves for
-MOST_PATTERNS = 1 << 17
+#: patterns, and sources with a target, the driver solves for
+MOST_PATTERNS = MOST_SOURCES = 1 << 17
 #: texts whose number of tokens a task remembers
 _REMEMBERED = 1 << 16
 
@@ -55,11 +55,13 @@ def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Sources are compared without letter case and surrounding blanks. ``content`` identifies equal
     texts. Rows without an id or text are left out, and so are texts without tokens; a source may be null.
+    ``tokenizer`` is a file of byte-level BPE ranks the driver can read; it is sent to the executors.
     """
+    name = ship_file(documents.sparkSession, tokenizer)
     picked = documents.select(F.col(doc_id).alias("doc"), F.lower(F.trim(source)).alias("source"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL AND text <> ''")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer, pattern).encode_ordinary
+        encode = _encoding(SparkFiles.get(name), pattern).encode_ordinary
         known: dict[bytes, int] = {}
         for batch in batches:
             content, tokens = [], []
@@ -75,7 +77,7 @@ def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(content, pa.binary()), pa.array(tokens, pa.int64())], names=["doc", "source", "content", "tokens"])
 
     kind = dict(picked.dtypes)["doc"]
-    return picked.mapInArrow(count, f"doc {kind}, source string, content binary, tokens bigint")
+    return map_arrow(picked, count, f"doc {kind}, source string, content binary, tokens bigint")
 
 
 @dataclass(frozen=True)
@@ -84,8 +86,8 @@ class Target:
     repeats: int
 
 
-def read_targets(targets: DataFrame, most: int = 10_000) -> dict[str, Target]:
-    """Target share and repetitions by source, for at most ``most`` sources.
+def read_targets(targets: DataFrame, most: int = MOST_SOURCES) -> dict[str, Target]:
+    """Target share and repetitions by source, for at most ``most`` sources; more are an error.
 
     Rows without a source are left out; a null share is 0, null repetitions are 1; a source that stands
     there twice gets both shares and the larger number of repetitions.
@@ -112,23 +114,6 @@ def _members(pattern: str) -> tuple[list[str], int]:
     return (names if mark else pattern).split("\x1f"), int(number) if mark else 1
 
 
-def _network(patterns: dict[str, int], targets: dict[str, Target], quotas: dict[str, int]) -> tuple[Network, dict[tuple[str, str], int]]:
-    pattern_node = {p: 2 + i for i, p in enumerate(sorted(patterns))}
-    source_node = {s: 2 + len(patterns) + i for i, s in enumerate(targets)}
-    net = Network(2 + len(patterns) + len(targets))
-    routes = {}
-    for p, node in pattern_node.items():
-        names, first = _members(p)
-        members = [s for s in names if s in targets]
-        for again in range(sum(targets[s].repeats for s in members)):
-            net.edge(0, node, patterns[p], first - 1 + again)
-        for s in members:
-            routes[p, s] = net.edge(node, source_node[s], patterns[p] * targets[s].repeats)
-    for s, node in source_node.items():
-        net.edge(node, 1, quotas.get(s, 0))
-    return net, routes
-
-
 def plan_mixture(patterns: dict[str, int], targets: dict[str, Target], total: int | None = None) -> Plan:
     """Route the tokens of membership patterns (sources joined by U+001F) to source quotas.
 
@@ -153,12 +138,19 @@ def plan_mixture(patterns: dict[str, int], targets: dict[str, Target], total: in
         # each source has documents of its own, so the one that is shortest sets the amount
         amount = min(int(most[s] / share[s]) for s in usable)
         quotas = {s: int(amount * share[s]) for s in usable}
-    net, routes = _network(patterns, targets, quotas)
-    net.send(0, 1)
+    names, kinds = list(targets), sorted(patterns)
+    number = {s: i for i, s in enumerate(names)}
+    members = [_members(p) for p in kinds]
+    pairs = np.array([(i, number[s]) for i, (own, _) in enumerate(members) for s in own if s in number], dtype=np.int64).reshape(-1, 2)
+    tokens = np.array([patterns[p] for p in kinds], dtype=np.int64)
+    repeats = np.array([targets[s].repeats for s in names], dtype=np.int64)
+    lots = np.bincount(pairs[:, 0], weights=repeats[pairs[:, 1]], minlength=len(kinds)).astype(np.int64)
+    room = tokens[pairs[:, 0]] * repeats[pairs[:, 1]]
+    first = np.array([f - 1 for _, f in members], dtype=np.int64)
+    sent = flow.fill(pairs[:, 0], pairs[:, 1], room, tokens, first, lots, np.array([quotas.get(s, 0) for s in names]))
     flows: dict[str, dict[str, int]] = {}
-    for (p, s), number in routes.items():
-        if net.flow(number):
-            flows.setdefault(p, {})[s] = net.flow(number)
+    for i in np.flatnonzero(sent):
+        flows.setdefault(kinds[pairs[i, 0]], {})[names[pairs[i, 1]]] = int(sent[i])
     return Plan(flows, {s: quotas.get(s, 0) for s in targets})
 
 
@@ -189,7 +181,7 @@ def mix(tokens: DataFrame, targets: dict[str, Target], total: int | str | None =
     its source allows; further documents with a text that is used already count as its repetitions and are
     taken only where distinct texts run short. Repeated rows count once. Which texts are taken depends on
     ``seed`` and on content and number of the documents only, of those with equal text in a source ones with small ids
-    first. Sources reach their quotas up to one text per pattern. No documents or no targets give no rows.
+    first. Sources reach their quotas up to half a text per pattern. No documents or no targets give no rows.
     """
     spark = tokens.sparkSession
     wanted = [s for s, t in targets.items() if t.share > 0 and t.repeats > 0]
@@ -220,13 +212,14 @@ def mix(tokens: DataFrame, targets: dict[str, Target], total: int | str | None =
             flows = shared.value.get(pattern)
             if not flows:
                 continue
-            place = before[bounds[g] : bounds[g + 1]]
+            # a text belongs to the stretch its middle lies in
+            place = (before + size // 2)[bounds[g] : bounds[g + 1]]
             own = _members(pattern)[0]
             flat = members.slice(int(start), int(bounds[g + 1] - start)).flatten().field("doc")
             at = 0
-            for s, flow in sorted(flows.items()):
-                times = -((place - (at + flow)) // totals[g]) + (place - at) // totals[g]
-                at += flow
+            for s, tokens_of in sorted(flows.items()):
+                times = -((place - (at + tokens_of)) // totals[g]) + (place - at) // totals[g]
+                at += tokens_of
                 taken = np.flatnonzero(times > 0)
                 docs.append(flat.take(pa.array(taken * len(own) + own.index(s))))
                 names += [s] * len(taken)
@@ -249,15 +242,48 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | str | None =
     return mix(tokens, read_targets(targets), total, seed)
 
 
-def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Columns ``source``, ``target_share``, ``tokens``, ``share``, ``documents``, ``most_copies``: what was reached.
+def quotas(tokens: DataFrame, targets: DataFrame, total: int | str = ALL) -> DataFrame:
+    """Columns ``source``, ``target_share``, ``max_repeats``, ``wanted``, ``available``, one row for each source with a target.
 
-    One row for each source with a target; sources that contribute nothing have share 0.
+    ``wanted`` are the tokens of its share of ``total``, ``available`` those of its documents, each taken as
+    often as it may be. Computed where the tokens are, for any number of sources.
+    """
+    asked = targets.groupBy(F.lower(F.trim("source")).alias("source")).agg(
+        F.greatest(F.sum(F.coalesce("target_share", F.lit(0.0))), F.lit(0.0)).alias("target_share"), F.greatest(F.max(F.coalesce("max_repeats", F.lit(1))), F.lit(0)).alias("max_repeats")
+    ).where("source IS NOT NULL")
+    documents = tokens.groupBy("source", "content", "doc").agg(F.max("tokens").alias("tokens"))
+    own = documents.groupBy(F.col("source").alias("own")).agg(F.sum("tokens").alias("own_tokens"))
+    whole = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).scalar() if total == ALL else F.lit(total)
+    return asked.join(own, F.col("source") == F.col("own"), "left").select(
+        "source", "target_share", "max_repeats", F.floor(whole * F.col("target_share")).cast("long").alias("wanted"),
+        (F.coalesce("own_tokens", F.lit(0)) * F.col("max_repeats")).cast("long").alias("available"),
+    )
+
+
+def reached_shares(mixed: DataFrame, asked: DataFrame, total: int | Column | None = None) -> DataFrame:
+    """What was reached, one row for each row of ``asked`` (``source``, ``target_share`` and any more columns, which are kept).
+
+    Adds ``tokens``, ``share`` of what was reached altogether, ``documents``, ``most_copies``; with a ``total``
+    also ``share_of_total``. Sources that contribute nothing have share 0. Sources are compared without
+    letter case and surrounding blanks.
     """
-    asked = targets.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share")).where("source IS NOT NULL")
     got = mixed.groupBy(F.col("source").alias("got")).agg(F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     joined = asked.join(got, F.col("source") == F.col("got"), "left").select(
-        "source", "target_share", *(F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("tokens", "long"), ("documents", "long"), ("most_copies", "int")))
+        *asked.columns, *(F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in (("tokens", "long"), ("documents", "long"), ("most_copies", "int")))
     )
     whole = joined.agg(F.sum("tokens").alias("n")).scalar()
-    return joined.select("source", "target_share", "tokens", F.coalesce(F.try_divide(F.col("tokens"), whole), F.lit(0.0)).alias("share"), "documents", "most_copies")
+    share = lambda of: F.coalesce(F.try_divide(F.col("tokens"), of), F.lit(0.0))
+    more = [] if total is None else [share(total if isinstance(total, Column) else F.lit(total)).alias("share_of_total")]
+    return joined.select(*asked.columns, "tokens", share(whole).alias("share"), *more, "documents", "most_copies")
+
+
+def mixture_report(documents: DataFrame, targets: DataFrame, seed: int = 0, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
+    """Shares reached of all tokens: those of ``quotas`` and ``reached_shares``, and ``missing`` tokens of each source."""
+    return report(cut_lineage(count_tokens(documents, tokenizer=tokenizer, pattern=pattern)), targets, seed)
+
+
+def report(tokens: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
+    """The same from tokens, or from documents measured in any other way under the same column names."""
+    mixed = mix(tokens, read_targets(targets), ALL, seed)
+    whole = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).scalar()
+    return reached_shares(mixed, quotas(tokens, targets), whole).withColumn("missing", F.greatest(F.col("wanted") - F.col("tokens"), F.lit(0)))

@@ -59,9 +59,18 @@ WITH d AS (SELECT doc_id, REGEXP_EXTRACT_ALL(LOWER(REGEXP_REPLACE(text, '[^A-Za-
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
+P7_FILLED = """
+WITH d AS (SELECT doc_id, LOWER(TRIM(source)) AS source, STRLEN(text) AS n FROM documents WHERE text <> ''),
+     t AS (SELECT LOWER(TRIM(source)) AS source, SUM(target_share) AS share, MAX(max_repeats) AS repeats FROM mix_target WHERE source IS NOT NULL GROUP BY ALL),
+     own AS (SELECT source, SUM(n) AS n FROM d GROUP BY source)
+SELECT t.source AS source, CAST(FLOOR((SELECT SUM(n) FROM d)::DOUBLE * t.share) AS BIGINT) AS wanted,
+       CAST(COALESCE(own.n, 0) * t.repeats AS BIGINT) AS available, TRUE AS filled
+FROM t LEFT JOIN own ON own.source = t.source
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND, "p1_percentiles": P1_PERCENTILES, "p2_found": P2_FOUND, "p2_top_values": P2_TOP_VALUES,
-        "p2_top_departments": P2_TOP_DEPARTMENTS, "p4_found": P4_FOUND, "p6_found": P6_FOUND,
+        "p2_top_departments": P2_TOP_DEPARTMENTS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_filled": P7_FILLED,
     }

@@ -79,21 +79,39 @@ def p6_spans(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.explode("spans").alias("span")).select("doc_id", "item_id", F.col("span.first").alias("first_word"), F.col("span.end").alias("end_word"))
 
 
+def _tokenizer(spark: SparkSession) -> str:
+    return spark.conf.get("spark.millrace.tokenizer", mixture.TOKENIZER)
+
+
 def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     """Every source filled up to its share of all tokens, as far as it has them."""
-    return mixture.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_target"), mixture.ALL)
+    return mixture.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_target"), mixture.ALL, tokenizer=_tokenizer(spark))
 
 
 def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """The shares actually reached."""
-    targets = table(spark, sf, "mix_target")
-    return mixture.reached_shares(mixture.mixture(table(spark, sf, "documents"), targets, mixture.ALL), targets)
+    """The shares actually reached, of the mixture and of all tokens, and what each source is short of."""
+    return mixture.mixture_report(table(spark, sf, "documents"), table(spark, sf, "mix_target"), tokenizer=_tokenizer(spark))
 
 
 def p7_balanced_shares(spark: SparkSession, sf: str) -> DataFrame:
     """The shares reached by the largest mixture that gives every source with documents its share."""
     targets = table(spark, sf, "mix_target")
-    return mixture.reached_shares(mixture.mixture(table(spark, sf, "documents"), targets), targets)
+    asked = targets.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.sum("target_share").alias("target_share")).where("source IS NOT NULL")
+    return mixture.reached_shares(mixture.mixture(table(spark, sf, "documents"), targets, tokenizer=_tokenizer(spark)), asked)
+
+
+def p7_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixture with texts measured in bytes: every source gets what it is short of its share or has, whichever is less.
+
+    ``filled`` allows for the rounding to whole texts: a hundredth and the longest text.
+    """
+    tokens = table(spark, sf, "documents").where("doc_id IS NOT NULL AND text <> ''").select(
+        F.col("doc_id").alias("doc"), F.lower(F.trim("source")).alias("source"), F.unhex(F.sha2("text", 256)).alias("content"), F.octet_length("text").cast("long").alias("tokens")
+    )
+    found = mixture.report(tokens, table(spark, sf, "mix_target"))
+    due = F.least("wanted", "available")
+    kept = F.abs(F.col("tokens") - due) <= due / 100 + tokens.agg(F.max("tokens").alias("n")).scalar()
+    return found.select("source", "wanted", "available", (kept & (F.col("most_copies") <= F.col("max_repeats"))).alias("filled"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -111,6 +129,6 @@ def queries() -> dict[str, Query]:
         "p2_found": p2_found, "p2_top_values": p2_top_values, "p2_top_departments": p2_top_departments,
         "p4_found": p4_found,
         "p6_found": p6_found, "p6_spans": p6_spans,
-        "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_balanced_shares": p7_balanced_shares,
+        "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_balanced_shares": p7_balanced_shares, "p7_filled": p7_filled,
         "p8_found": p8_found, "p8_restored": p8_restored,
     }
