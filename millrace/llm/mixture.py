@@ -162,14 +162,12 @@ def _numbered(tokens: DataFrame) -> DataFrame:
     """Columns ``content``, ``source``, ``doc``, ``tokens``, ``number``: each document once, numbered by id among those with its text and source."""
     once = tokens.groupBy("content", "source", "doc").agg(F.max("tokens").alias("tokens")).where("tokens > 0").withColumn("one", F.lit(1).cast("long"))
     run = ordered.sort_once(once, ["content", "source"], ["doc"])
-    edges = ordered.edges(run, ["content", "source"], "one")
 
-    def number(table: pa.Table, pid: int) -> pa.Table:
-        _, before, _, _ = ordered.positions(table, ["content", "source"], "one", edges[pid])
-        return table.drop_columns(["one"]).append_column("number", pa.array(before + 1))
+    def number(table: pa.Table, at: ordered.Places) -> pa.Table:
+        return table.drop_columns(["one"]).append_column("number", pa.array(at.before + 1))
 
     kind = dict(tokens.dtypes)["doc"]
-    return ordered.map_partitions(run, number, f"content binary, source string, doc {kind}, tokens bigint, number bigint")
+    return ordered.map_groups(run, ["content", "source"], "one", lambda _: number, f"content binary, source string, doc {kind}, tokens bigint, number bigint")
 
 
 def mix(tokens: DataFrame, targets: dict[str, Target], total: int | str | None = None, seed: int = 0) -> DataFrame:
@@ -198,13 +196,11 @@ def mix(tokens: DataFrame, targets: dict[str, Target], total: int | str | None =
         total = tokens.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     plan = plan_mixture({r.pattern: r.tokens for r in sums}, targets, total)
     shared = spark.sparkContext.broadcast(plan.flows)
-    edges = ordered.edges(run, ["pattern"], "tokens")
     kind = dict(tokens.dtypes)["doc"]
 
-    def choose(table: pa.Table, pid: int) -> pa.Table:
-        starts, before, totals, _ = ordered.positions(table, ["pattern"], "tokens", edges[pid])
+    def choose(table: pa.Table, at_rows: ordered.Places) -> pa.Table:
+        starts, before, totals, size = at_rows.starts, at_rows.before, at_rows.totals, at_rows.weights
         bounds = np.append(starts, table.num_rows)
-        size = table["tokens"].to_numpy()
         members = table["members"].combine_chunks()
         docs, names, copies, sizes = [], [], [], []
         for g, start in enumerate(starts):
@@ -230,7 +226,7 @@ def mix(tokens: DataFrame, targets: dict[str, Target], total: int | str | None =
             "copies": pa.array(np.concatenate([np.zeros(0, np.int32), *copies]).astype(np.int32)), "tokens": pa.array(np.concatenate([np.zeros(0, np.int64), *sizes])),
         })
 
-    return ordered.map_partitions(run, choose, f"doc_id {kind}, source string, copies int, tokens bigint")
+    return ordered.map_groups(run, ["pattern"], "tokens", lambda _: choose, f"doc_id {kind}, source string, copies int, tokens bigint")
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 0, tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:

@@ -1,9 +1,9 @@
 """Percentiles of groups by a full distributed sort with per-partition counts.
 
-Rows are sorted by (group, value) over all partitions, each partition counts what it holds, and the
-counts give the place of every row in its group. Percentiles are read off at their target places and
-interpolated between the two neighbouring order statistics; a value's rank is the number of rows before
-it. Both are exact.
+Equal values of a group are combined to one weighted row, the rows are sorted by (group, value) over all
+partitions, each partition counts what it holds, and the counts give the places of every row in its
+group. Target places are then located, and percentiles interpolated between the two neighbouring order
+statistics; all of it is exact.
 
 Input may be rows or weighted values, so results of separate parts can be put together later: ``piece``
 condenses each part to at most ``1 / (2 * error)`` weighted values per group, whose ranks are off by at
@@ -23,9 +23,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm import ordered
 
-#: kinds of rows in the sort, in the order in which they stand at equal values
-_LOW, _ROW, _HIGH = 0, 1, 2
-
 
 def known_values(df: DataFrame, group: Sequence[str], value: str, key: str | None = None, weight: str | None = None) -> DataFrame:
     """Group columns, ``value``, ``weight``: the rows that take part, each ``key`` once.
@@ -41,9 +38,9 @@ def known_values(df: DataFrame, group: Sequence[str], value: str, key: str | Non
     return picked.select(*group, value, w.cast("long").alias("weight")).where("weight > 0")
 
 
-def _sorted(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    ties = [c for c in rows.columns if c not in (*group, value, "weight")]
-    return ordered.sort_once(rows, group, [value, *ties])
+def _combined(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """One row for each distinct value of a group, combined before anything is sorted: a value that most rows have is one row per task."""
+    return rows.groupBy(*group, value).agg(F.sum("weight").alias("weight"))
 
 
 def percentiles(rows: DataFrame, group: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
@@ -57,30 +54,24 @@ def percentiles(rows: DataFrame, group: Sequence[str], value: str, fractions: Se
     fs = [float(f) for f in fractions]
     if any(not 0 <= f <= 1 for f in fs):
         raise ValueError("fractions must lie between 0 and 1")
-    run = _sorted(rows, group, value)
-    table_edges = ordered.edges(run, group, "weight")
+    run = ordered.sort_once(_combined(rows, group, value), group, [value])
     names = [*group]
     types = dict(rows.dtypes)
 
-    def locate(table: pa.Table, pid: int) -> pa.Table:
-        starts, before, totals, _ = ordered.positions(table, names, "weight", table_edges[pid])
-        weights = table["weight"].to_numpy().astype(np.int64)
+    def locate(table: pa.Table, at: ordered.Places) -> pa.Table:
         values = table[value].to_numpy().astype(np.float64)
-        ends = np.append(starts[1:], table.num_rows) - 1
-        at, part, frac, total = [], [], [], []
+        every = np.arange(len(at.starts))
+        rows_, part, frac, total = [], [], [], []
         for f in fs:
-            place = f * (totals - 1)
+            place = f * (at.totals - 1)
             low = np.floor(place).astype(np.int64)
             share = place - low
-            for k, p in ((low, 1 - share), (np.minimum(low + 1, totals - 1), share)):
-                here = (k >= before[starts]) & (k < before[ends] + weights[ends]) & (p > 0)
-                g = np.flatnonzero(here)
-                # within a group the places are ascending, over groups the rows are: one search for all
-                base = np.cumsum(np.append(0, before[ends] + weights[ends] - before[starts]))[:-1]
-                flat_end = before + weights - np.repeat(before[starts] - base, ends - starts + 1)
-                row = np.searchsorted(flat_end, base[g] + (k[g] - before[starts][g]), side="right")
-                at.append(row), part.append(p[g]), frac.append(np.full(len(g), f)), total.append(totals[g])
-        row = np.concatenate(at)
+            for k, p in ((low, 1 - share), (np.minimum(low + 1, at.totals - 1), share)):
+                some = np.flatnonzero(p > 0)
+                here, row = at.rows_at(every[some], k[some])
+                g = some[here]
+                rows_.append(row), part.append(p[g]), frac.append(np.full(len(g), f)), total.append(at.totals[g])
+        row = np.concatenate(rows_)
         out = table.select(names).take(pa.array(row))
         return (
             out.append_column("n", pa.array(np.concatenate(total))).append_column("fraction", pa.array(np.concatenate(frac)))
@@ -88,43 +79,11 @@ def percentiles(rows: DataFrame, group: Sequence[str], value: str, fractions: Se
         )
 
     schema = ", ".join([*(f"`{g}` {types[g]}" for g in names), "n bigint, fraction double, part double, value__ double"])
-    found = ordered.map_partitions(run.select(*names, value, "weight"), locate, schema)
+    found = ordered.map_groups(run.select(*names, value, "weight"), group, "weight", lambda _: locate, schema)
     # the two neighbours may come from two partitions
     return found.groupBy(*names, "n", "fraction").agg(F.sum(F.col("part") * F.col("value__")).alias("percentile"))
 
 
-def ranks(rows: DataFrame, group: Sequence[str], value: str, probes: DataFrame, probe: str) -> DataFrame:
-    """Group columns, ``probe``, ``n``, ``below``, ``upto``: how many values lie below and up to each probe.
-
-    ``probes`` holds the group columns and ``probe``; it takes part in the same sort, once before and
-    once after the values equal to it. Null probes give no rows; a probe of a group without values has
-    ``n`` 0. Repeated probes come out once.
-    """
-    asked = probes.where(F.col(probe).isNotNull()).select(*group, F.col(probe).cast("double").alias("v__")).distinct()
-    kinds = F.explode(F.array(F.lit(_LOW), F.lit(_HIGH)))
-    ties = [c for c in rows.columns if c not in (*group, value, "weight")]
-    body = rows.select(*group, F.col(value).cast("double").alias("v__"), F.lit(_ROW).alias("kind__"), *(F.col(t).alias(f"t__{i}") for i, t in enumerate(ties)), "weight")
-    marks = asked.select(*group, "v__", kinds.alias("kind__"), *(F.lit(None).cast(dict(rows.dtypes)[t]).alias(f"t__{i}") for i, t in enumerate(ties)), F.lit(0).cast("long").alias("weight"))
-    run = ordered.sort_once(body.unionByName(marks), group, ["v__", "kind__", *(f"t__{i}" for i in range(len(ties)))])
-    table_edges = ordered.edges(run, group, "weight")
-    names = [*group]
-    types = dict(rows.dtypes)
-
-    def locate(table: pa.Table, pid: int) -> pa.Table:
-        starts, before, totals, _ = ordered.positions(table, names, "weight", table_edges[pid])
-        total = np.repeat(totals, np.diff(np.append(starts, table.num_rows)))
-        kind = table["kind__"].to_numpy()
-        row = np.flatnonzero(kind != _ROW)
-        out = table.select([*names, "v__", "kind__"]).take(pa.array(row))
-        return out.append_column("n", pa.array(total[row])).append_column("before", pa.array(before[row]))
-
-    schema = ", ".join([*(f"`{g}` {types[g]}" for g in names), "v__ double, kind__ int, n bigint, before bigint"])
-    found = ordered.map_partitions(run.select(*names, "v__", "kind__", "weight"), locate, schema)
-    return found.groupBy(*names, F.col("v__").alias(probe)).agg(
-        F.max("n").alias("n"), F.max(F.when(F.col("kind__") == _LOW, F.col("before"))).alias("below"), F.max(F.when(F.col("kind__") == _HIGH, F.col("before"))).alias("upto")
-    )
-
-
 def piece(rows: DataFrame, part: Sequence[str], group: Sequence[str], value: str, error: float = 0.0) -> DataFrame:
     """Condensed parts of the data: part and group columns, ``value``, ``weight``.
 
@@ -137,14 +96,12 @@ def piece(rows: DataFrame, part: Sequence[str], group: Sequence[str], value: str
         return rows.groupBy(*part, *group, value).agg(F.sum("weight").alias("weight"))
     m = math.ceil(1 / (2 * error))
     names = [*part, *group]
-    run = _sorted(rows, names, value)
-    table_edges = ordered.edges(run, names, "weight")
+    run = ordered.sort_once(_combined(rows, names, value), names, [value])
     types = dict(rows.dtypes)
 
-    def condense(table: pa.Table, pid: int) -> pa.Table:
-        starts, before, totals, _ = ordered.positions(table, names, "weight", table_edges[pid])
-        total = np.repeat(totals, np.diff(np.append(starts, table.num_rows)))
-        after = before + table["weight"].to_numpy().astype(np.int64)
+    def condense(table: pa.Table, at: ordered.Places) -> pa.Table:
+        total = at.totals[at.group_of_row]
+        before, after = at.before, at.before + at.weights
         stretches = np.minimum(total, m)
         # middles of stretches s lie at (s + 1/2) * total / stretches; a row stands for those within it
         below = lambda x: -((total - 2 * x * stretches) // (2 * total))
@@ -155,20 +112,76 @@ def piece(rows: DataFrame, part: Sequence[str], group: Sequence[str], value: str
         return out.filter(pa.array(weight > 0))
 
     schema = ", ".join([*(f"`{g}` {types[g]}" for g in names), f"`{value}` {types[value]}", "weight bigint"])
-    return ordered.map_partitions(run.select(*names, value, "weight"), condense, schema)
+    return ordered.map_groups(run.select(*names, value, "weight"), names, "weight", lambda _: condense, schema)
+
+
+def _below(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a < b`` with NaN as the largest number."""
+    return (a < b) | (np.isnan(b) & ~np.isnan(a))
 
 
 def misfits(rows: DataFrame, group: Sequence[str], value: str, buckets: DataFrame, number: str, bound: str, fraction: str, tolerance: float) -> DataFrame:
     """Buckets of a stored histogram whose bound does not fit the data: group columns and ``number``.
 
     A bucket misfits if its cumulative fraction lies more than ``tolerance`` below the fraction of
-    values smaller than its bound, or above the fraction of values up to it. Buckets with a null bound or
-    fraction, and buckets of groups without values, never do. Repeated buckets come out once.
+    values smaller than its bound, or above the fraction of values up to it. That is decided at two places
+    of the sorted group: the bound is too high if it lies above the order statistic that ``tolerance``
+    more than the bucket's fraction of the values end with, and too low if it lies below the one after those
+    that ``tolerance`` less of them end with. These places are whole numbers, so the order statistics
+    themselves are compared and nothing lies between two neighbours.
+
+    Buckets take part in the sort as marks before the values of their group. Buckets with a null bound or
+    fraction, and buckets of groups without values, never misfit. Repeated buckets come out once.
     """
-    asked = buckets.select(*group, number, F.col(bound).cast("double").alias("b__"), F.col(fraction).alias("f__")).where("b__ IS NOT NULL AND f__ IS NOT NULL").distinct()
-    found = ranks(rows, group, value, asked, "b__").select(*(F.col(g).alias(f"r__{i}") for i, g in enumerate(group)), F.col("b__").alias("r__b"), "n", "below", "upto")
-    same = F.col("b__") == F.col("r__b")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"r__{i}"))
-    wrong = (F.col("f__") < F.col("below") / F.col("n") - tolerance) | (F.col("f__") > F.col("upto") / F.col("n") + tolerance)
-    return asked.join(found.where("n > 0"), same, "inner").where(wrong).select(*group, number).distinct()
+    names = [*group]
+    types = dict(rows.dtypes)
+    kind = dict(buckets.dtypes)[number]
+    body = _combined(rows, group, value).select(*names, F.col(value).cast("double").alias("v__"), F.lit(None).cast(kind).alias("number__"), F.lit(None).cast("double").alias("b__"), F.lit(None).cast("double").alias("f__"), "weight")
+    marks = buckets.select(*(F.col(g).cast(types[g]).alias(g) for g in names), F.lit(None).cast("double").alias("v__"), F.col(number).alias("number__"), F.col(bound).cast("double").alias("b__"), F.col(fraction).cast("double").alias("f__"), F.lit(0).cast("long").alias("weight"))
+    marks = marks.where("b__ IS NOT NULL AND f__ IS NOT NULL").distinct()
+    # a null value sorts before all others
+    run = ordered.sort_once(body.unionByName(marks), group, ["v__", "number__", "b__", "f__"])
+    mark_columns = ["number__", "b__", "f__"]
+
+    def make(carried: list):
+        #: marks of the group that the last chunk ended with, or that the partition begins with
+        state = {"key": None, "marks": carried}
+
+        def locate(table: pa.Table, at: ordered.Places) -> pa.Table:
+            own = table.select(mark_columns).append_column("group__", pa.array(at.group_of_row)).filter(pa.array(at.weights == 0))
+            first = [table[g][0].as_py() for g in names]
+            went_on = state["marks"] if state["key"] in (None, repr(first)) else []
+            earlier = pa.Table.from_pylist([m | {"group__": 0} for m in went_on], schema=own.schema)
+            asked = pa.concat_tables([earlier, own])
+            new = np.arange(asked.num_rows) >= earlier.num_rows
+            g, b, f = (asked[c].to_numpy() for c in ("group__", "b__", "f__"))
+            final = len(at.starts) - 1
+            state["key"] = repr([table[c][int(at.starts[-1])].as_py() for c in names])
+            state["marks"] = asked.filter(pa.array(g == final)).select(mark_columns).to_pylist()
+            n = at.totals[g]
+            size = np.maximum(n, 1)
+            #: least number of values below the bound, and most values up to it, at which it misfits; of the numbers around, the exact ones
+            least, most = np.floor((f + tolerance) * size) + 2, np.floor((f - tolerance) * size) - 2
+            for d in (1, 0, -1):
+                k = np.floor((f + tolerance) * size) + d
+                least = np.where(f < k / size - tolerance, k, least)
+                k = np.floor((f - tolerance) * size) - d
+                most = np.where(f > k / size + tolerance, k, most)
+            least, most = least.astype(np.int64), most.astype(np.int64)
+            wrong = new & (n > 0) & ((least <= 0) | (most >= n))
+            values = table["v__"].to_numpy()
+            for place, high in ((least - 1, True), (most, False)):
+                some = np.flatnonzero((place >= 0) & (place < n))
+                here, row = at.rows_at(g[some], place[some])
+                x = some[here]
+                wrong[x] |= _below(values[row], b[x]) if high else _below(b[x], values[row])
+            hit = np.flatnonzero(wrong)
+            out = table.select(names).take(pa.array(at.starts[g[hit]]))
+            return out.append_column("number__", asked["number__"].take(pa.array(hit)))
+
+        return locate
+
+    schema = ", ".join([*(f"`{g}` {types[g]}" for g in names), f"number__ {kind}"])
+    found = ordered.map_groups(run, group, "weight", make, schema, mark_columns)
+    # the two places of a bucket may lie in two partitions
+    return found.select(*names, F.col("number__").alias(number)).distinct()

@@ -1,4 +1,4 @@
-"""Distributed percentiles and ranks against numpy."""
+"""Distributed percentiles and misfitting histogram bounds against numpy."""
 
 import random
 
@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import ordered
 from millrace.llm import percentiles as P
 from tests.conftest import rows
 
@@ -29,8 +30,9 @@ def by_group(data):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_percentiles_are_exact(spark, seed):
+@pytest.mark.parametrize(("seed", "chunk"), [(1, 1 << 20), (2, 5), (3, 50)])
+def test_percentiles_are_exact(spark, monkeypatch, seed, chunk):
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", chunk)
     data = people(seed)
     df = spark.createDataFrame(data, SCHEMA).repartition(6)
     found = P.percentiles(P.known_values(df, ["dept"], "salary", key="id"), ["dept"], "salary", FS)
@@ -64,7 +66,9 @@ def test_condensed_pieces_keep_the_stated_error(spark, error):
         assert low - 2 * error - 1e-3 <= r.fraction <= high + 2 * error + 1e-3
 
 
-def test_ranks_and_misfits(spark):
+@pytest.mark.parametrize("chunk", [1 << 20, 7])
+def test_misfits(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", chunk)
     data = people(4)
     df = spark.createDataFrame(data, SCHEMA).repartition(5)
     buckets = [(d, b, x, f, "x") for d in (None, 1, 2, 3, 9) for b, (x, f) in enumerate([(7.0, 0.5), (7.0, 0.5), (-100.0, 0.0), (-100.0, 0.2), (1000.0, 1.0), (1000.0, 0.9), (None, 0.5), (6.5, None)])]
@@ -95,3 +99,20 @@ def test_one_value_over_all_partitions(spark):
     df = spark.range(4000).select(F.col("id").cast("int").alias("id"), F.lit(1).alias("dept"), F.lit(7).alias("salary"))
     found = P.percentiles(P.known_values(df, ["dept"], "salary", key="id"), ["dept"], "salary", (0.0, 0.5, 1.0))
     assert [(r.n, r.percentile) for r in found.collect()] == [(4000, 7.0)] * 3
+
+
+def test_a_value_most_rows_have_is_one_row_of_the_sort(spark, monkeypatch):
+    sorted_rows = []
+    sort = ordered.sort_once
+    monkeypatch.setattr(ordered, "sort_once", lambda df, *a: sorted_rows.append(df) or sort(df, *a))
+    df = spark.range(0, 200_000, 1, 8).select(F.lit(1).alias("dept"), F.when(F.col("id") % 10 > 0, 5).otherwise(F.col("id").cast("int")).alias("salary"))
+    found = {r.fraction: r.percentile for r in P.percentiles(P.known_values(df, ["dept"], "salary"), ["dept"], "salary", (0.0, 0.5, 1.0)).collect()}
+    assert found == {0.0: 0.0, 0.5: 5.0, 1.0: 199990.0}
+    assert sorted_rows[0].count() == 20_001
+
+
+def test_a_million_groups_in_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK_ROWS", 10_000)
+    df = spark.range(0, 1_000_000, 1, 4).select(F.col("id").cast("int").alias("dept"), (F.col("id") % 7).cast("int").alias("salary"))
+    found = P.percentiles(P.known_values(df, ["dept"], "salary"), ["dept"], "salary", (0.5,))
+    assert found.where("percentile = dept % 7 AND n = 1").count() == 1_000_000
