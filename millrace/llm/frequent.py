@@ -16,6 +16,7 @@ value nor a large segment ends up on one node, and the nodes' shares are equal.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -104,14 +105,41 @@ def _resolve(counts: NodeCounts, bound: DataFrame) -> DataFrame:
     return exact.join(bounds, _same(column, "b__"), "inner").select(*column, "value__", "count__", "bound__", "total__")
 
 
+def _lower_bounds(counts: NodeCounts, k: int) -> DataFrame:
+    """Phase one: column keys, bound__ and total__, from the ``k`` leading values of every node.
+
+    The k-th of the summed leaders' counts cannot exceed the k-th true count.
+    """
+    column = counts.column
+    best = Window.partitionBy("node__", *column).orderBy(F.col("count__").desc(), F.col("value__"))
+    leaders = counts.local.withColumn("rank__", F.row_number().over(best)).where(F.col("rank__") <= k)
+    partial = leaders.groupBy(*column, "value__").agg(F.sum("count__").alias("count__"))
+    # at most k leaders per node and column reach this window
+    ranked = partial.withColumn("rank__", F.row_number().over(_by_count(column))).where(F.col("rank__") <= k)
+    lower = ranked.groupBy(*column).agg(F.when(F.max("rank__") == k, F.min("count__")).otherwise(0.0).alias("bound__"))
+    totals = _renamed(counts.totals, column, "t__")
+    return lower.join(totals, _same(column, "t__"), "inner").select(*column, "bound__", "total__")
+
+
+def _by_count(column: Sequence[str]):
+    return Window.partitionBy(*(column or [F.lit(1)])).orderBy(F.col("count__").desc(), F.col("value__"))
+
+
 def values_above_share(counts: NodeCounts, share: float, value: str = "value") -> DataFrame:
     """Values that make up at least ``share`` of their column: column keys, value, n, share.
 
-    The lower bound of phase one is known beforehand here: ``share`` of the column's total.
-    Null values are never returned; columns without any counted row give none. Values compare exactly
-    as they stand, and may be of any length.
+    Only as many values as such shares fit into what was counted can, so they are among as many leading
+    ones, and the bound of phase one is raised to ``share`` of the column's total where it is lower. Null
+    values are never returned; columns without any counted row give none. Values compare exactly as they
+    stand, and may be of any length.
     """
-    bound = counts.totals.withColumn("bound__", F.lit(float(share)) * F.col("total__"))
+    if not 0 < share <= 1:
+        raise ValueError("share must lie above 0 and not above 1")
+    least = F.lit(float(share)) * F.col("total__")
+    # one row per column; counts may add up to more than the total where segments list what overlaps
+    mass = counts.local.groupBy(*counts.column).agg(F.sum("count__").alias("mass__"))
+    fit = mass.join(_renamed(counts.totals, counts.column, "t__"), _same(counts.column, "t__"), "inner").agg(F.max(F.col("mass__") / least).alias("k")).first()["k"]
+    bound = _lower_bounds(counts, max(1, math.floor((fit or 0) / _SLACK))).withColumn("bound__", F.greatest("bound__", least))
     exact = _resolve(counts, bound)
     return exact.where(F.col("count__") / F.col("total__") >= F.lit(float(share))).select(
         *counts.column, F.col("value__").alias(value), F.col("count__").alias("n"), (F.col("count__") / F.col("total__")).alias("share")
@@ -124,18 +152,8 @@ def top_k(counts: NodeCounts, k: int, value: str = "value") -> DataFrame:
     Equal counts rank by ascending value. A column with fewer than ``k`` values returns them all; no
     rows in, no rows out. Counts are exact for what the nodes counted.
     """
-    column = counts.column
-    best = Window.partitionBy("node__", *column).orderBy(F.col("count__").desc(), F.col("value__"))
-    leaders = counts.local.withColumn("rank__", F.row_number().over(best)).where(F.col("rank__") <= k)
-    partial = leaders.groupBy(*column, "value__").agg(F.sum("count__").alias("count__"))
-    # at most k leaders per node and column reach this window
-    order = Window.partitionBy(*column).orderBy(F.col("count__").desc(), F.col("value__")) if column else Window.partitionBy(F.lit(1)).orderBy(F.col("count__").desc(), F.col("value__"))
-    ranked = partial.withColumn("rank__", F.row_number().over(order)).where(F.col("rank__") <= k)
-    lower = ranked.groupBy(*column).agg(F.when(F.max("rank__") == k, F.min("count__")).otherwise(0.0).alias("bound__"))
-    totals = _renamed(counts.totals, column, "t__")
-    bound = lower.join(totals, _same(column, "t__"), "inner").select(*column, "bound__", "total__")
-    exact = _resolve(counts, bound)
+    exact = _resolve(counts, _lower_bounds(counts, k))
     # counts within rounding of each other are one count, however their parts were added up
     exact = exact.withColumn("count__", F.round("count__", 6))
-    final = exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return final.select(*column, F.col("value__").alias(value), F.col("count__").alias("n"), "rank")
+    final = exact.withColumn("rank", F.row_number().over(_by_count(counts.column))).where(F.col("rank") <= k)
+    return final.select(*counts.column, F.col("value__").alias(value), F.col("count__").alias("n"), "rank")

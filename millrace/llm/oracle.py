@@ -24,6 +24,19 @@ WITH e AS ({P1_ROWS}), g AS (SELECT dept, COUNT(*) AS n FROM e GROUP BY dept),
 SELECT p.dept AS dept, g.n AS n, p.fraction AS fraction, ROUND(p.percentile, 6) AS percentile FROM p JOIN g ON g.dept = p.dept
 """
 
+# a stretch of n / m values stands for the value in its middle; 50 stretches per pay day and department at most
+P1_FROM_CONDENSED = """
+WITH e AS (SELECT DISTINCT pay_day, dept, id, salary FROM emp WHERE dept IS NOT NULL AND salary IS NOT NULL),
+     r AS (SELECT pay_day, dept, salary, ROW_NUMBER() OVER (PARTITION BY pay_day, dept ORDER BY salary) - 1 AS place, COUNT(*) OVER (PARTITION BY pay_day, dept) AS n FROM e),
+     s AS (SELECT pay_day, dept, n, LEAST(n, 50) AS m, UNNEST(RANGE(0, LEAST(n, 50))) AS s FROM (SELECT DISTINCT pay_day, dept, n FROM r)),
+     w AS (SELECT s.dept, r.salary, (s.s + 1) * s.n // s.m - s.s * s.n // s.m AS weight
+           FROM s JOIN r ON r.pay_day IS NOT DISTINCT FROM s.pay_day AND r.dept = s.dept AND r.place = (2 * s.s + 1) * s.n // (2 * s.m)),
+     v AS (SELECT dept, salary, UNNEST(RANGE(0, weight)) FROM w),
+     p AS (SELECT dept, COUNT(*) AS n, UNNEST([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS fraction,
+                  UNNEST(QUANTILE_CONT(salary, [0.05, 0.25, 0.5, 0.75, 0.95]))::DOUBLE AS percentile FROM v GROUP BY dept)
+SELECT dept, n, fraction, ROUND(percentile, 6) AS percentile FROM p
+"""
+
 P2_COUNTS = """
 WITH e AS (SELECT DISTINCT relation_id, column_idx, segment_no, tuple_count, value, frequency FROM mcv_entry),
      t AS (SELECT relation_id, column_idx, SUM(tuple_count)::DOUBLE AS total
@@ -71,6 +84,6 @@ FROM t LEFT JOIN own ON own.source = t.source
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": P1_FOUND, "p1_percentiles": P1_PERCENTILES, "p2_found": P2_FOUND, "p2_top_values": P2_TOP_VALUES,
+        "p1_found": P1_FOUND, "p1_percentiles": P1_PERCENTILES, "p1_from_condensed": P1_FROM_CONDENSED, "p2_found": P2_FOUND, "p2_top_values": P2_TOP_VALUES,
         "p2_top_departments": P2_TOP_DEPARTMENTS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_filled": P7_FILLED,
     }

@@ -103,3 +103,21 @@ def test_no_more_than_n_rows_leave_a_task_for_the_shuffle(spark):
     df = spark.range(0, 40000, 1, 4).select(F.lit(1).alias("dept"), "id", (F.col("id") % 1000).alias("salary"))
     found = topn.top_n_per_group(df, "dept", "salary", "id", 3)
     assert [r.id for r in found.orderBy("id").collect()] == [999, 1999, 2999]
+
+
+def test_many_groups_in_one_partition_are_merged_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(topn, "_BUFFER_ROWS", 1 << 14)
+    monkeypatch.setattr(topn, "partitions_for", lambda df: 1)
+    df = spark.range(0, 2_000_000, 1, 4).select((F.col("id") % 1_000_000).cast("int").alias("dept"), "id", F.col("id").alias("salary"))
+    found = topn.top_n_per_group(df, "dept", "salary", "id", 1)
+    assert found.where("id = dept + 1000000").count() == 1_000_000 == found.count()
+
+
+def test_phase_one_raises_the_bound_of_a_share(spark):
+    data = [(1, 1, s, 100, v, f, "n") for s in range(50) for v, f in (("a", 0.5), ("b", 0.3), *((f"rare {s} {i}", 0.01) for i in range(10)))]
+    counts = counted(spark, data, 4)
+    assert [r.bound__ for r in frequent._lower_bounds(counts, 2).collect()] == pytest.approx([1500])
+    assert rows(frequent.values_above_share(counts, 0.3).select("value")) == [("a",), ("b",)]
+    for share in (0, -1, 1.5):
+        with pytest.raises(ValueError):
+            frequent.values_above_share(counts, share)
