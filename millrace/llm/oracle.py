@@ -71,6 +71,13 @@ WITH d AS (SELECT doc_id, REGEXP_EXTRACT_ALL(LOWER(REGEXP_REPLACE(text, '[^A-Za-
      ig AS (SELECT DISTINCT item_id, ARRAY_TO_STRING(w[p:p + 11], ' ') AS g FROM (SELECT item_id, w, UNNEST(RANGE(1, LEN(w) - 10)) AS p FROM i WHERE LEN(w) >= 12))
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
+# windows of an item in a document that begin within twelve words of one another are one span
+P6_SPANS = P6_FOUND.rsplit("SELECT DISTINCT", 1)[0].replace("SELECT doc_id, ARRAY_TO_STRING", "SELECT doc_id, p, ARRAY_TO_STRING") + """
+  , h AS (SELECT DISTINCT doc_id, item_id, p FROM dg JOIN ig USING (g)),
+     b AS (SELECT *, CASE WHEN p - LAG(p) OVER (PARTITION BY doc_id, item_id ORDER BY p) <= 12 THEN 0 ELSE 1 END AS fresh FROM h),
+     s AS (SELECT *, SUM(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY p) AS span FROM b)
+SELECT doc_id, item_id, CAST(MIN(p) - 1 AS INTEGER) AS first_word, CAST(MAX(p) + 11 AS INTEGER) AS end_word FROM s GROUP BY doc_id, item_id, span
+"""
 
 P7_FILLED = """
 WITH d AS (SELECT doc_id, LOWER(TRIM(source)) AS source, STRLEN(text) AS n FROM documents WHERE text <> ''),
@@ -85,5 +92,5 @@ FROM t LEFT JOIN own ON own.source = t.source
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND, "p1_percentiles": P1_PERCENTILES, "p1_from_condensed": P1_FROM_CONDENSED, "p2_found": P2_FOUND, "p2_top_values": P2_TOP_VALUES,
-        "p2_top_departments": P2_TOP_DEPARTMENTS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p7_filled": P7_FILLED,
+        "p2_top_departments": P2_TOP_DEPARTMENTS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p6_spans": P6_SPANS, "p7_filled": P7_FILLED,
     }

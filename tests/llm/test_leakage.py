@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from millrace.llm import leakage
+from millrace.llm import leakage, wordhash
 from millrace.llm.fmindex import FMIndex, WaveletMatrix, suffix_order
 from tests.conftest import rows
 
@@ -76,10 +77,11 @@ def corpus(seed):
     return docs + [(70, None, ""), (None, items[2][1], ""), (71, "", ""), (72, text(20000) + items[2][1], ""), (3, docs[3][1], ""), (73, docs[4][1], "")], items
 
 
-@pytest.mark.parametrize(("seed", "shard", "block"), [(1, 1 << 23, 1 << 25), (2, 2000, 1 << 25), (3, 1 << 23, 300)])
+@pytest.mark.parametrize(("seed", "shard", "block"), [(1, 1 << 23, 1 << 25), (2, 2000, 1 << 25), (3, 1 << 23, 300), (4, 2000, 100)])
 def test_leaks_against_all_windows(spark, monkeypatch, seed, shard, block):
     monkeypatch.setattr(leakage, "SHARD_BYTES", shard)
     monkeypatch.setattr(leakage, "BLOCK_BYTES", block)
+    monkeypatch.setattr(leakage, "PASS_BYTES", 3 * block)
     monkeypatch.setattr(leakage, "_LOCATE_ROWS", 7)
     docs, items = corpus(seed)
     d = spark.createDataFrame(docs, "doc_id long, text string, item string").repartition(3)
@@ -99,3 +101,31 @@ def test_nothing_to_search(spark):
     some = spark.createDataFrame([(1, "a " * 40)], "doc_id long, text string")
     assert rows(leakage.leaked_passages(some, i)) == [] and rows(leakage.leaked_passages(d, some.withColumnRenamed("doc_id", "item_id"))) == []
     assert rows(leakage.leaked_passages(some, some.withColumnRenamed("doc_id", "item_id")).select("words")) == [(40,)]
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 3, 17])
+def test_word_numbers(monkeypatch, piece):
+    monkeypatch.setattr(wordhash, "_PIECE", piece)
+    wordhash._powers.cache_clear()
+    rng = random.Random(piece)
+    texts = ["", "abc", "abc", "ABC def", "x" * 50, " -- ", "é1é2", "a"] + ["".join(rng.choice("aB3 .é") for _ in range(rng.randrange(40))) for _ in range(200)]
+    hashes, first = wordhash.words_of(*wordhash.bytes_of(pa.array(texts).slice(0)))
+    own = [hashes[a:b].tolist() for a, b in zip(first, first[1:])]
+    assert [len(x) for x in own] == [len(words(t)) for t in texts]
+    pairs = {(h, w) for x, t in zip(own, texts) for h, w in zip(x, words(t))}
+    assert len({h for h, _ in pairs}) == len({w for _, w in pairs}) == len(pairs)
+    wordhash._powers.cache_clear()
+
+
+def test_one_id_in_two_shards(spark):
+    text = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    items = spark.createDataFrame([(1, text("a", 40))], "item_id int, text string")
+    docs = spark.createDataFrame([(7, text("a", 20)), (7, "x y " + text("a", 30)), (7, "z " * 50 + text("a", 12))], "doc_id long, text string").repartition(3)
+    assert [tuple(r)[:3] + tuple((s.first, s.end) for s in r.spans) for r in leakage.leaked_passages(docs, items).collect()] == [(7, 1, 44, (0, 32), (50, 62))]
+
+
+def test_ids_of_any_type_and_short_phrases(spark):
+    docs = spark.createDataFrame([("d" * 300, "a b c"), ("e", "c b")], "doc_id string, text string")
+    items = spark.createDataFrame([(1.5, "B a!"), (2.5, "b C")], "item_id double, text string")
+    found = lambda n: rows(leakage.leaked_passages(docs, items, words=n).select("doc_id", "item_id"))
+    assert found(2) == [("d" * 300, 2.5)] and found(1) == [("d" * 300, 1.5), ("d" * 300, 2.5), ("e", 1.5), ("e", 2.5)]
