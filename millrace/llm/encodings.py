@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import numpy as np
 
@@ -49,6 +49,26 @@ class _Wide(_Codec):
         return text.removesuffix("�").encode(self.name)
 
 
+class Learned:
+    """A single-byte codec of which only some bytes are known, put together from aligned characters."""
+
+    def __init__(self, chars: dict[int, str]):
+        self.chars = chars
+        self.numbers = {c: b for b, c in chars.items()}
+
+    def encode(self, text: str) -> bytes:
+        try:
+            return bytes(ord(c) if c < "\x80" else self.numbers[c] for c in text)
+        except KeyError as missing:
+            raise UnicodeError(f"no byte is known for {missing}") from None
+
+    def decode(self, raw: bytes) -> str:
+        try:
+            return "".join(chr(b) if b < 0x80 else self.chars[b] for b in raw)
+        except KeyError as missing:
+            raise UnicodeError(f"no character is known for {missing}") from None
+
+
 CODECS = {n: _Table(n) for n in SINGLE_BYTE} | {n: _Codec(n) for n in (*MULTI_BYTE, "utf_8")} | {n: _Wide(n) for n in WIDE}
 
 #: (decoded with, written in): what may have happened to a text
@@ -70,14 +90,14 @@ def by_decoder(pairs: Iterable[tuple[str, str]]) -> dict[str, list[str]]:
     return out
 
 
-def undo(text: str, pairs: dict[str, list[str]]) -> dict[str, tuple[str, str]]:
+def undo(text: str, pairs: dict[str, list[str]], known: Mapping = CODECS) -> dict[str, tuple[str, str]]:
     """Texts that ``text`` may have been, each with the first pair that gives it."""
     out: dict[str, tuple[str, str]] = {}
     #: codecs tried on bytes: relatives encode most texts to the same ones
     tried: dict[bytes, set[str]] = {}
     for w, rights in pairs.items():
         try:
-            raw = CODECS[w].encode(text)
+            raw = known[w].encode(text)
         except UnicodeError:
             continue
         done = tried.setdefault(raw, set())
@@ -86,7 +106,7 @@ def undo(text: str, pairs: dict[str, list[str]]) -> dict[str, tuple[str, str]]:
                 continue
             done.add(r)
             try:
-                was = CODECS[r].decode(raw)
+                was = known[r].decode(raw)
             except UnicodeError:
                 continue
             if was not in out and was != text and not _CONTROL.search(was):
@@ -171,3 +191,21 @@ class Model:
                 start, size = i + 1, 0
         out.append(self.score(texts[start:]))
         return np.concatenate(out)
+
+
+def byte_votes(garbled: str, clean: str) -> list[tuple[int, str]]:
+    """Which character each byte of the clean run's UTF-8 became, if an unknown single-byte codec decoded it."""
+    raw = clean.encode("utf-8", "surrogatepass")
+    return list(zip(raw, garbled)) if len(raw) == len(garbled) else []
+
+
+def completed(table: dict[int, str], shown: Callable[[str], int]) -> dict[int, str]:
+    """An inferred table with the bytes nothing is known of taken from the listed codec that agrees with it most, if any does.
+
+    Of several the one that is ``shown`` most often.
+    """
+    agreeing, _, nearest = max((sum(CODECS[n].decoding[b] == c for b, c in table.items()), shown(n), n) for n in SINGLE_BYTE)
+    out, used = dict(table), set(table.values())
+    if agreeing:
+        out |= {b: c for b, c in enumerate(CODECS[nearest].decoding) if b >= 0x80 and b not in table and c not in used}
+    return out

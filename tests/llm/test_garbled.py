@@ -50,6 +50,7 @@ def test_undo_inverts_every_decoding():
 def test_alignment():
     assert G.align("SchlÃ¼ssel MaÃŸ", "Schlüssel Maß") == [("Ã¼", "ü"), ("ÃŸ", "ß")]
     assert ("cp1252", "utf_8") in G._explained("Ã¼", "ü") and G._explained("x", "ü") == ()
+    assert G._explained("ÃƒÂ¼", "ü")[:2] == (("cp1252", "utf_8"), ("cp1254", "utf_8"))
 
 
 def test_damaged_words_fit_whole_ones():
@@ -135,3 +136,27 @@ def test_damaged_lines_find_a_fitting_twin_among_all(spark):
         want |= {2000 + 100 * i + k: f"{whole[0]}\nint g{i}_{k};" for k, t in enumerate(copies) if t == damaged}
     found = {r.doc_id: r.text for r in G.restored_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert {d: t for d, t in found.items() if d >= 2000} == want
+
+
+@pytest.mark.parametrize("codec", ["cp1256", "cp1255"])
+def test_a_codec_that_is_not_listed_is_inferred(spark, codec):
+    assert codec not in E.CODECS
+    rng = random.Random(4)
+    docs, truth = [(i, t) for i, (_, t) in enumerate(texts(8, 400))], {}
+    for i in range(40):
+        clean = "// " + " ".join(rng.choice(WORDS["de"] + WORDS["fr"]) for _ in range(6))
+        bad = clean.encode().decode(codec, "ignore")
+        if len(bad) == len(clean.encode()) and bad != clean:
+            truth[5000 + i] = clean
+            docs.append((5000 + i, bad))
+    found = {r.doc_id: r.text for r in G.restored_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(truth) > 20 and sum(found.get(i) == t for i, t in truth.items()) >= 0.9 * len(truth) and len(set(found) - set(truth)) <= 1
+
+
+def test_a_garbled_text_may_be_the_most_frequent(spark):
+    docs = [(i, t) for i, (_, t) in enumerate(texts(10, 300))]
+    first, second = ("// seltsame Wörter über Gänse und Füße".encode().decode(c) for c in ("cp1252", "cp1251"))
+    model = spark.sparkContext.broadcast(G.count_model(spark.createDataFrame([(t, 1) for _, t in docs] + [("// für Wörter über Gänse und Füße", 9)], "line string, n long")))
+    variants = spark.createDataFrame([(1, first, 9), (1, second, 2), (1, "// seltsame Wörter über Gänse und Füße", 1)], "key long, text string, n long")
+    clean = "// seltsame Wörter über Gänse und Füße"
+    assert {frozenset(r) for r in G.twins(variants, model).collect()} == {frozenset(x) for x in ((first, clean), (second, clean), (first, second))}
