@@ -72,14 +72,19 @@ def arithmetic(left: Any, op: str, right: Any, fraction: bool = False) -> Column
     return {"+": a + b, "-": a - b, "*": a * b}[op]
 
 
-def truthy(value: Column, kind: T.DataType) -> Column:
-    """Truth of a value of any type: null is false, numbers are true unless zero, texts unless empty."""
+def passes(value: Column, kind: T.DataType) -> Column:
+    """Truth of a value of any type as a filter condition, which can reach the reader: null for null, numbers are true unless zero, texts unless empty."""
     if isinstance(kind, T.BooleanType):
-        return is_true(value)
+        return value
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return is_true(F.abs(value) > 1e-12)
+        return (value > 1e-12) | (value < -1e-12)
     if isinstance(kind, T.NumericType):
-        return is_true(value != 0)
+        return value != 0
     if isinstance(kind, T.StringType):
-        return is_true(F.length(value) > 0)
+        return value != ""
     raise TypeError(f"no truth value for {kind.simpleString()}")
+
+
+def truthy(value: Column, kind: T.DataType) -> Column:
+    """The two-valued form of ``passes``, for projecting it: null is false."""
+    return is_true(passes(value, kind))

@@ -42,10 +42,12 @@ def lookup_join(outer: DataFrame, inner: DataFrame, outer_key: str, inner_key: s
 
 
 def many_to_one_join(many: DataFrame, one: DataFrame, many_key: str, one_key: str) -> DataFrame:
-    """Join in which few inner rows are met again and again: only inner rows whose key occurs are kept at hand."""
-    keys = many.select(F.col(many_key).alias("met__")).distinct()
-    met = one.join(keys, F.col(one_key) == F.col("met__"), "left_semi")
-    return many.join(met, F.col(many_key) == F.col(one_key), "inner")
+    """Join in which few inner rows are met again and again.
+
+    Inner rows that are never met drop out in the join itself; keeping the matches of a key at hand is what a
+    hash join does. The inner side is the one that is hashed, or broadcast if it is small.
+    """
+    return equi_join(many, one, F.col(many_key) == F.col(one_key), "broadcast" if estimated_bytes(one) <= BROADCAST_BYTES else None)
 
 
 def join_all(tables: Sequence[DataFrame], conditions: Sequence[Column]) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -18,14 +17,14 @@ def _numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.NumericType)
 
 
-def columns(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """Per column: rows, distinct known values, fraction of nulls, least and greatest number.
+def _counted(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """How often each value of each column occurs: ``column``, ``value`` (as text), ``n``, ``low``, ``high`` (as numbers)."""
+    number = lambda n: F.col(n).cast("double") if _numeric(df, n) else F.lit(None).cast("double")
+    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("column"), F.col(n).cast("string").alias("value"), number(n).alias("number")) for n in names)))
+    return df.select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"), F.min("p.number").alias("low"), F.max("p.number").alias("high"))
 
-    All columns are counted in a few shuffles over (column, value), not one pass each.
-    """
-    names = list(names or df.columns)
-    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("column"), F.col(n).cast("string").alias("value"), (F.col(n).cast("double") if _numeric(df, n) else F.lit(None).cast("double")).alias("number")) for n in names)))
-    counted = df.select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"), F.min("p.number").alias("low"), F.max("p.number").alias("high"))
+
+def _described(counted: DataFrame) -> DataFrame:
     return counted.groupBy("column").agg(
         F.sum("n").alias("row_count"), F.count("value").alias("distinct_count"),
         (F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("null_fraction"),
@@ -33,6 +32,14 @@ def columns(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     )
 
 
+def columns(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Per column: rows, distinct known values, fraction of nulls, least and greatest number.
+
+    All columns are counted in a few shuffles over (column, value), not one pass each.
+    """
+    return _described(_counted(df, list(names or df.columns)))
+
+
 def histogram(df: DataFrame, name: str, buckets: int = BUCKETS) -> DataFrame:
     """Upper bounds of buckets that hold equally many values: ``bucket``, ``upper_bound``.
 
@@ -65,16 +72,23 @@ def pairs(df: DataFrame, names: Sequence[str], n: int = MOST_COMMON) -> tuple[Da
 
 
 def analyze(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """Column statistics with histogram and most common values as arrays, to be stored as one table."""
+    """Column statistics with histogram and most common values as arrays, to be stored as one table.
+
+    Two scans for any number of columns: one counts values, whose counts also tell the most common ones (by
+    number, then text; no more than those leave a task), and one makes the histograms of all numeric columns.
+    """
     names = list(names or df.columns)
-    base = columns(df, names)
-    extra = []
-    for name in names:
-        common = most_common(df, name).agg(F.lit(name).alias("c"), F.sort_array(F.collect_list(F.struct("frequency", F.col("value").cast("string").alias("value"))), asc=False).alias("most_common"))
-        if _numeric(df, name):
-            bounds = histogram(df, name).agg(F.sort_array(F.collect_list("upper_bound")).alias("bounds"), F.lit(name).alias("c2"))
-            common = common.join(bounds, F.col("c") == F.col("c2"), "left").select("c", "most_common", "bounds")
-        else:
-            common = common.select("c", "most_common", F.lit(None).cast("array<double>").alias("bounds"))
-        extra.append(common)
-    return base.join(reduce(DataFrame.unionByName, extra), F.col("column") == F.col("c"), "left").drop("c")
+    counted = _counted(df, names)
+    order = Window.partitionBy("column").orderBy(F.col("n").desc(), "value")
+    top = counted.where("value IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_COMMON)
+    common = top.groupBy(F.col("column").alias("c")).agg(F.sort_array(F.collect_list(F.struct("rank", "n", "value"))).alias("top"))
+    out = _described(counted).join(common, F.col("column") == F.col("c"), "left")
+    shares = F.transform("top", lambda x: F.struct((x["n"] / F.col("row_count")).alias("frequency"), x["value"].alias("value")))
+    out = out.select(*(c for c in out.columns if c not in ("c", "top")), F.coalesce(shares, F.array().cast("array<struct<frequency: double, value: string>>")).alias("most_common"))
+    numbers = [n for n in names if _numeric(df, n)]
+    if not numbers:
+        return out.withColumn("bounds", F.lit(None).cast("array<double>"))
+    fractions = [(i + 1) / BUCKETS for i in range(BUCKETS)]
+    every = df.agg(*(F.percentile_approx(F.col(n).cast("double"), fractions, F.lit(10_000)).alias(f"b{i}") for i, n in enumerate(numbers)))
+    bounds = every.select(F.explode(F.array(*(F.struct(F.lit(n).alias("c"), F.col(f"b{i}").alias("bounds")) for i, n in enumerate(numbers)))).alias("x")).select("x.*")
+    return out.join(bounds, F.col("column") == F.col("c"), "left").drop("c")

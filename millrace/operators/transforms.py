@@ -7,13 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.expressions import truthy
+from millrace.functions.expressions import passes
 
 
 def keep(df: DataFrame, condition: Column) -> DataFrame:
     """Rows for which ``condition`` is true, whatever its type; null is not true."""
     kind = df.select(condition.alias("c")).schema["c"].dataType
-    return df.where(condition if kind.simpleString() == "boolean" else truthy(condition, kind))
+    return df.where(passes(condition, kind))
 
 
 def project(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> DataFrame:

@@ -73,6 +73,12 @@ class TableDef:
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(c.name, c.spark_type, True) for c in self.columns])
 
+    @property
+    def layout(self) -> tuple[tuple[str, ...], tuple[str, ...]]:
+        """Columns rows are ordered by (the keys of the first index), and columns with Bloom filters (first keys of the others)."""
+        keys = [k for k, _ in self.indexes.values()]
+        return (keys[0] if keys else ()), tuple(dict.fromkeys(k[0] for k in keys[1:] if k[0] != keys[0][0]))
+
     def column(self, name: str) -> ColumnDef:
         for c in self.columns:
             if c.name == name:
