@@ -32,6 +32,14 @@ def p3_undo(spark: SparkSession, sf: str) -> DataFrame:
     return sides.groupBy("lsn", "txn_id").agg(F.min("side").alias("side"), F.max("side").alias("other")).where("side = other").select("lsn", "txn_id", "side")
 
 
+def p3_undo_lagging(spark: SparkSession, sf: str) -> DataFrame:
+    """Undo entries of a feed that lacks half of its COMMIT and ABORT records (those with odd numbers), beyond the stored list."""
+    log = table(spark, sf, "log_record")
+    ours = replay.undo_list(log.where(~F.upper(F.trim("type")).isin("COMMIT", "ABORT") | (F.col("lsn") % 2 == 0)))
+    stored = table(spark, sf, "heap_item").select("lsn", "txn_id").distinct()
+    return ours.join(stored.select(F.col("lsn").alias("l"), F.col("txn_id").alias("t")), (F.col("lsn") == F.col("l")) & F.col("txn_id").eqNullSafe(F.col("t")), "left_anti")
+
+
 def _by_department(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "dept").select("id").distinct()
     return eager.eager_join_aggregate(
@@ -78,6 +86,12 @@ WITH k AS (SELECT *, UPPER(TRIM(type)) AS kind FROM log_record),
      s AS (SELECT DISTINCT lsn, txn_id FROM heap_item)
 SELECT lsn, txn_id, 'feed' AS side FROM (SELECT * FROM o EXCEPT SELECT * FROM s) UNION ALL
 SELECT lsn, txn_id, 'stored' AS side FROM (SELECT * FROM s EXCEPT SELECT * FROM o)""",
+    "p3_undo_lagging": """
+WITH k AS (SELECT *, UPPER(TRIM(type)) AS kind FROM log_record),
+     e AS (SELECT DISTINCT txn_id FROM k WHERE kind IN ('COMMIT', 'ABORT') AND lsn % 2 = 0 AND txn_id IS NOT NULL)
+SELECT DISTINCT k.lsn AS lsn, k.txn_id AS txn_id FROM k WHERE kind IN ('HEAP_INSERT', 'HEAP_UPDATE', 'HEAP_DELETE')
+  AND NOT EXISTS (SELECT 1 FROM e WHERE e.txn_id = k.txn_id)
+  AND NOT EXISTS (SELECT 1 FROM heap_item h WHERE h.lsn = k.lsn AND h.txn_id IS NOT DISTINCT FROM k.txn_id)""",
     "p5_found": "SELECT dept FROM emp WHERE dept IS NOT NULL GROUP BY dept HAVING COUNT(*) >= 0.03 * (SELECT COUNT(*) FROM emp)",
     "p5_departments": """
 SELECT e.dept AS dept, COUNT(*) AS n_rows, COUNT(e.salary) AS with_salary, CAST(SUM(e.salary) AS BIGINT) AS payroll, MIN(e.salary) AS lowest, MAX(e.salary) AS highest
@@ -90,7 +104,7 @@ FROM emp e JOIN dept d ON e.dept = d.id GROUP BY d.dname""",
 
 def queries() -> dict[str, Query]:
     return relational.QUERIES | {
-        "p3_found": p3_found, "p3_state": p3_state, "p3_undo": p3_undo,
+        "p3_found": p3_found, "p3_state": p3_state, "p3_undo": p3_undo, "p3_undo_lagging": p3_undo_lagging,
         "p5_found": p5_found, "p5_departments": p5_departments, "p5_by_name": p5_by_name,
     }
 

@@ -13,7 +13,7 @@ from millrace.functions.expressions import arithmetic, both, compare, either, is
 from millrace.operators import aggregates, joins, ordering, scans, setops, stats, transforms, verify
 from millrace.plans.engine import Engine, explain
 from millrace.session import shared_folder, table
-from millrace.sources.tables import ColumnDef
+from millrace.sources.tables import ColumnDef, ConstraintError
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -489,7 +489,7 @@ def _engine(spark: SparkSession) -> Engine:
     return Engine(spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}")
 
 
-_KINDS = {T.IntegerType(): "INT", T.LongType(): "BIGINT", T.DoubleType(): "DOUBLE", T.BooleanType(): "BOOLEAN", T.StringType(): "VARCHAR(200)"}
+_KINDS = {T.IntegerType(): "INT", T.LongType(): "BIGINT", T.DoubleType(): "DOUBLE", T.BooleanType(): "BOOLEAN", T.StringType(): "VARCHAR(200)", T.TimestampNTZType(): "VARCHAR(30)"}
 
 
 def _stored(spark: SparkSession, sf: str, name: str, *indexes: tuple[list[str], bool]) -> Engine:
@@ -587,23 +587,135 @@ def stats_common_pairs(spark, sf):
     return stats.pairs(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"])[1].drop("rank")
 
 
-@query()
+@query("SELECT bucket, CASE WHEN bucket = 10 THEN (SELECT MAX(o_totalprice) FROM orders) END AS greatest, TRUE AS fits FROM (SELECT CAST(UNNEST(RANGE(1, 11)) AS INTEGER) AS bucket)")
 def stats_histogram(spark, sf):
-    return stats.histogram(table(spark, sf, "orders"), "o_totalprice")
+    """Bounds of ten buckets: each has its share of the rows up to it, within a thousandth."""
+    orders = table(spark, sf, "orders").select("o_totalprice")
+    bounds = stats.histogram(orders, "o_totalprice").agg(F.sort_array(F.collect_list("upper_bound")).alias("b")).scalar()
+    below = orders.select("o_totalprice", bounds.alias("b"))
+    upto = below.agg(F.count(F.lit(1)).alias("n"), F.first("b").alias("b"), *(F.count_if(c("o_totalprice") <= c("b")[i]).alias(f"n{i}") for i in range(10)))
+    each = upto.select("n", F.posexplode(F.arrays_zip("b", F.array(*(f"n{i}" for i in range(10))).alias("upto"))).alias("pos", "x"))
+    bucket = c("pos") + 1
+    return each.select(bucket.alias("bucket"), F.when(bucket == 10, c("x.b")).alias("greatest"), (F.abs(c("x.upto") / c("n") - bucket / 10) <= 0.001).alias("fits"))
 
 
-@query()
+_ANALYZED = ("o_orderstatus", "o_custkey", "o_totalprice")
+
+
+@query(" UNION ALL ".join(f"""
+SELECT '{n}' AS "column", COUNT(*) AS row_count, COUNT(DISTINCT {n}) AS distinct_count, (COUNT(*) - COUNT({n}))::DOUBLE / COUNT(*) AS null_fraction,
+       {f"MIN({n})::DOUBLE" if number else "NULL::DOUBLE"} AS min_value, {f"MAX({n})::DOUBLE" if number else "NULL::DOUBLE"} AS max_value,
+       (SELECT COUNT(*) FROM orders GROUP BY {n} ORDER BY COUNT(*) DESC LIMIT 1)::DOUBLE / COUNT(*) AS top_frequency,
+       LEAST(COUNT(DISTINCT {n}), 8) AS n_common, {10 if number else "NULL"}::INTEGER AS n_bounds FROM orders""" for n, number in (("o_orderstatus", False), ("o_custkey", True), ("o_totalprice", True))))
 def stats_analyze(spark, sf):
-    return stats.analyze(table(spark, sf, "orders"), ["o_orderstatus", "o_custkey", "o_totalprice"])
+    """Kept statistics of a table that was analyzed and read again."""
+    engine = _stored(spark, sf, "orders")
+    engine.analyze("orders")
+    kept = engine.statistics("orders").where(c("column").isin(*_ANALYZED))
+    return kept.select(
+        "column", "row_count", "distinct_count", "null_fraction", "min_value", "max_value", c("most_common")[0]["frequency"].alias("top_frequency"),
+        F.size("most_common").cast("long").alias("n_common"), F.when(c("bounds").isNotNull(), F.size("bounds")).alias("n_bounds"),
+    )
 
 
-@query("SELECT CAST(0 AS BIGINT) AS differing_rows")
+@query("""
+SELECT o_orderkey, o_custkey, o_orderstatus, CAST(1 AS BIGINT) AS surplus FROM orders WHERE o_custkey % 10 = 3
+UNION ALL SELECT o_orderkey, o_custkey, 'X', -1 FROM orders WHERE o_custkey % 10 = 3""")
 def consistency_check(spark, sf):
-    """A table against its own sorted, rewritten form: no row differs."""
-    orders = table(spark, sf, "orders")
-    return verify.differences(orders, scans.cluster_by(orders, ["o_custkey"])).agg(F.count(F.lit(1)).alias("differing_rows"))
+    """A table against a sorted copy of it in which some rows were changed: exactly these differ."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    changed = orders.withColumn("o_orderstatus", F.when(c("o_custkey") % 10 == 3, "X").otherwise(c("o_orderstatus")))
+    return verify.differences(orders, scans.cluster_by(changed, ["o_custkey"]))
 
 
-@query()
+@query("""
+SELECT 'rows by part' AS "rule", CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'order of the first index', 0
+UNION ALL SELECT 's_suppkey is null', 0 UNION ALL SELECT 's_name is longer than 200', 0
+UNION ALL SELECT 'supplier_index_0 is unique', (SELECT COUNT(*) FROM (SELECT s_suppkey FROM supplier GROUP BY s_suppkey HAVING COUNT(*) > 1))""")
+def table_check(spark, sf):
+    """A stored table with an index, after changes, obeys all its rules."""
+    engine = _stored(spark, sf, "supplier", (["s_suppkey"], True))
+    engine.sql("UPDATE supplier SET s_nationkey = 1 WHERE s_suppkey < 5")
+    return engine.store.check("supplier")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 70")
+def index_lookup_after_create(spark, sf):
+    """A lookup by a key whose index was made after the rows were there: laid out by it, and filtered in the reader."""
+    engine = _stored(spark, sf, "orders")
+    engine.sql("CREATE INDEX by_customer ON orders (o_custkey)")
+    return engine.sql("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 70")
+
+
+@query("SELECT 'duplicate key' AS what, TRUE AS refused, COUNT(*) AS n FROM supplier UNION ALL SELECT 'null key', TRUE, COUNT(*) FROM supplier UNION ALL SELECT 'long text', TRUE, COUNT(*) FROM supplier UNION ALL SELECT 'index over duplicates', TRUE, COUNT(*) FROM supplier")
+def rules_refuse(spark, sf):
+    """Statements that break a rule are refused and change nothing."""
+    engine = _stored(spark, sf, "supplier", (["s_suppkey"], True))
+    first = table(spark, sf, "supplier").agg(F.min("s_suppkey")).first()[0]
+    statements = {
+        "duplicate key": f"INSERT INTO supplier VALUES ({first}, 'x', 1, 1.0)", "null key": "INSERT INTO supplier VALUES (NULL, 'x', 1, 1.0)",
+        "long text": f"INSERT INTO supplier VALUES (-1, '{'x' * 201}', 1, 1.0)", "index over duplicates": "CREATE UNIQUE INDEX by_nation ON supplier (s_nationkey)",
+    }
+    out = []
+    for what, sql in statements.items():
+        try:
+            engine.sql(sql)
+            refused = False
+        except ConstraintError:
+            refused = True
+        out.append((what, refused))
+    return engine.spark.createDataFrame(out, "what string, refused boolean").withColumn("n", engine.sql("SELECT COUNT(*) AS n FROM supplier").scalar())
+
+
+@query("""
+SELECT 'Created table t.' AS message UNION ALL SELECT 'Created index i.' UNION ALL SELECT 'Inserted 1 row.' UNION ALL SELECT 'Inserted 1 row.'
+UNION ALL SELECT 'Updated 2 rows.' UNION ALL SELECT 'Inserted 1 row.' UNION ALL SELECT 'Deleted 1 row.' UNION ALL SELECT 'Deleted 0 rows.' UNION ALL SELECT 'Deleted 2 rows.'""")
+def command_messages(spark, sf):
+    engine = _engine(spark)
+    statements = (
+        "CREATE TABLE t (a INT)", "CREATE INDEX i ON t (a)", "INSERT INTO t VALUES (1)", "INSERT INTO t VALUES (2)",
+        "UPDATE t SET a = 5 WHERE a > 0", "INSERT INTO t VALUES (3)", "DELETE FROM t WHERE a = 3 AND a < 5", "DELETE FROM t WHERE a = 9", "DELETE FROM t",
+    )
+    return spark.createDataFrame([(engine.sql(x).first()[0],) for x in statements], "message string")
+
+
+@query("SELECT CAST(1 AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS versions")
+def torn_commit(spark, sf):
+    """A commit that was not written whole does not count, and the next writer goes on after it."""
+    engine = _engine(spark)
+    engine.sql("CREATE TABLE t (a INT)")
+    engine.sql("INSERT INTO t VALUES (1)")
+    engine.store.storage.publish("t/commits/000000000003.json", '{"table": ')
+    engine.sql("UPDATE t SET a = 2")
+    store = engine.store
+    return engine.sql("SELECT COUNT(*) AS n_rows FROM t").select(c("n_rows"), F.lit(store.snapshot("t").version).cast("long").alias("versions"))
+
+
+@query("SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT c_custkey, c_nationkey, 0.0 FROM customer WHERE c_nationkey = 3")
+def transaction_commit(spark, sf):
+    """Two tables changed together, and a third change rolled back."""
+    engine = _engine(spark)
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    for name in ("here", "there"):
+        engine.create_table(name, [ColumnDef("c_custkey", "BIGINT"), ColumnDef("c_nationkey", "INT"), ColumnDef("c_acctbal", "DOUBLE")])
+    engine.load("here", customers)
+    with engine.store.transaction() as both:
+        both.append("there", both.read("here").where("c_nationkey = 3"))
+        both.delete("here", c("c_nationkey") == 3)
+        both.update("there", {"c_acctbal": 0.0})
+    engine = Engine(spark, engine.store.root)
+    engine.sql("BEGIN")
+    engine.sql("DELETE FROM here")
+    engine.sql("ROLLBACK")
+    return engine.sql("SELECT * FROM here UNION ALL SELECT * FROM there")
+
+
+@query("SELECT 'a condition reaches the reader' AS what, TRUE AS seen UNION ALL SELECT 'only named columns are read', TRUE UNION ALL SELECT 'groups are combined before the shuffle', TRUE UNION ALL SELECT 'the limit keeps few rows', TRUE")
 def explain_plan(spark, sf):
-    return explain(flagship(spark, sf))
+    """What the plan of the flagship query shows."""
+    plan = "\n".join(r.plan for r in explain(flagship(spark, sf)).collect())
+    seen = {
+        "a condition reaches the reader": "EqualTo(c_mktsegment,BUILDING)" in plan, "only named columns are read": "struct<o_custkey:bigint,o_totalprice:double>" in plan,
+        "groups are combined before the shuffle": "partial_sum(o_totalprice" in plan, "the limit keeps few rows": "TakeOrderedAndProject" in plan,
+    }
+    return spark.createDataFrame(list(seen.items()), "what string, seen boolean")
