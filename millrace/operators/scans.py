@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import compare, constant
-from millrace.session import partitions_for
+from millrace.session import keep, partitions_for
 
 
 def scan(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -93,8 +92,8 @@ def fetch_after_limit(df: DataFrame, key: str, condition: Column, n: int) -> Dat
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Keep the rows for reading them several times, in memory as far as they fit and else on disk."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Keep the rows for reading them several times, in memory as far as they fit and else on disk; see ``session.Scope`` for how long."""
+    return keep(df)
 
 
 def cluster_by(df: DataFrame, keys: Sequence[str], partitions: int | None = None) -> DataFrame:

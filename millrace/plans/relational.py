@@ -719,3 +719,49 @@ def explain_plan(spark, sf):
         "groups are combined before the shuffle": "partial_sum(o_totalprice" in plan, "the limit keeps few rows": "TakeOrderedAndProject" in plan,
     }
     return spark.createDataFrame(list(seen.items()), "what string, seen boolean")
+
+
+@query("SELECT 'a projection of all columns is no step' AS what, TRUE AS seen UNION ALL SELECT 'rows in order are not sorted again', TRUE UNION ALL SELECT 'states are merged after one shuffle', TRUE")
+def plan_shapes(spark, sf):
+    """What the optimizer leaves out, by the plans of three queries."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    same = transforms.project(orders, orders.columns)
+    again = ordering.sort(ordering.sort(orders, [("o_custkey", True)]), [("o_custkey", True)])
+    groups = plan(aggregates.aggregate(orders, ["o_custkey"], {"n": ("count", "*"), "least": ("min", "o_orderkey")}))
+    seen = {
+        "a projection of all columns is no step": "Project" not in plan(same), "rows in order are not sorted again": plan(again).count("Sort [") == 1,
+        "states are merged after one shuffle": groups.count("Exchange") == 1 and "partial_count" in groups and "partial_min" in groups,
+    }
+    return spark.createDataFrame(list(seen.items()), "what string, seen boolean")
+
+
+@query("SELECT 'kept' AS which, COUNT(*) AS row_count FROM supplier UNION ALL SELECT 'after a change', COUNT(*) FROM supplier UNION ALL SELECT 'refreshed', COUNT(*) + 1 FROM supplier")
+def stats_refresh(spark, sf):
+    """Statistics stay as they were kept until they are asked for anew."""
+    engine = _stored(spark, sf, "supplier")
+    out = []
+    for which in ("kept", "after a change", "refreshed"):
+        if which == "after a change":
+            engine.sql("INSERT INTO supplier VALUES (-1, 'new', 1, 0.0)")
+        else:
+            engine.analyze("supplier")
+        out.append((which, engine.statistics("supplier").where(c("column") == "s_suppkey").first()["row_count"]))
+    return spark.createDataFrame(out, "which string, row_count long")
+
+
+@query("""
+SELECT CAST(1 AS BIGINT) AS version, 'create' AS operation UNION ALL SELECT 2, 'insert' UNION ALL SELECT 3, 'create index by_nation' UNION ALL SELECT 4, 'update'
+UNION ALL SELECT 5, 'delete' UNION ALL SELECT 6, 'insert, update' UNION ALL SELECT 7, 'compact'""")
+def table_history(spark, sf):
+    """What was done to a table, as its commits tell."""
+    engine = _stored(spark, sf, "supplier")
+    engine.sql("CREATE INDEX by_nation ON supplier (s_nationkey)")
+    engine.sql("UPDATE supplier SET s_nationkey = 1 WHERE s_nationkey = 2")
+    engine.sql("DELETE FROM supplier WHERE s_nationkey = 3")
+    engine.sql("BEGIN")
+    engine.sql("INSERT INTO supplier VALUES (-1, 'new', 1, 0.0)")
+    engine.sql("UPDATE supplier SET s_acctbal = 1.5 WHERE s_suppkey = -1")
+    engine.sql("COMMIT")
+    engine.store.compact("supplier")
+    return spark.createDataFrame(engine.store.history("supplier"), "version long, operation string")

@@ -11,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -135,7 +136,7 @@ class Scope:
     _open: list[Scope] = []
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.kept = spark, [], []
 
     def __enter__(self) -> Scope:
         Scope._open.append(self)
@@ -148,7 +149,10 @@ class Scope:
     def close(self) -> None:
         for path in self.paths:
             _delete(self.spark, path)
+        for df in self.kept:
+            df.unpersist()
         self.paths.clear()
+        self.kept.clear()
 
 
 _outside: dict[str, list[str]] = {}
@@ -158,6 +162,13 @@ def _wrote(spark: SparkSession, path: str) -> None:
     (Scope._open[-1].paths if Scope._open else _outside.setdefault(spark.sparkContext.applicationId, [])).append(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` kept by the executors, in memory as far as it fits and else on disk, until its scope closes."""
+    if Scope._open:
+        Scope._open[-1].kept.append(df)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

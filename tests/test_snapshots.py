@@ -207,3 +207,36 @@ def test_update_is_all_or_nothing(spark, root):
     with pytest.raises(ConstraintError):
         store.update("t", {"id": 3}, F.col("id") < 3)
     assert sorted(r.id for r in store.read("t").collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize(("step", "statement"), [
+    (step, statement) for statement in ("insert", "update", "delete", "index", "compact") for step in ("written", "checked", "merged", "committed")
+    if (step, statement) not in {("checked", "delete"), ("checked", "compact"), ("merged", "delete"), ("merged", "index"), ("merged", "compact"), ("merged", "update")}
+])
+def test_breaking_off_at_any_step_leaves_the_old_table_or_the_new(spark, root, monkeypatch, step, statement):
+    monkeypatch.setattr(snapshots, "MERGE", 4)
+    run = {
+        "insert": lambda s: s.insert("t", [9, 9, 9]), "update": lambda s: s.update("t", {"id": 50}, F.col("id") == 2), "delete": lambda s: s.delete("t", F.col("id") == 2),
+        "index": lambda s: s.create_index("t", "v", ["salary"], True), "compact": lambda s: s.compact("t"),
+    }[statement]
+    rows_of = lambda s: sorted(tuple(r) for r in s.read("t").collect())
+
+    def hook(s):
+        if s == step:
+            raise Stop
+
+    store, other = TableStore(spark, root), TableStore(spark, f"{root}-whole")
+    for s in (store, other):
+        s.create("t", COLUMNS)
+        s.create_index("t", "u", ["id"], True)
+        s.append("t", spark.createDataFrame([(1, 1, 1), (2, 2, 2)], "a int, b int, c long"))
+        s.insert("t", [3, 3, 3])
+        s.insert("t", [4, 4, 4])
+    old = rows_of(store)
+    run(other)
+    with pytest.raises(Stop):
+        run(TableStore(spark, root, hook))
+    assert rows_of(store) == (rows_of(other) if step == "committed" else old)
+    if step != "committed":
+        run(store)
+    assert rows_of(store) == rows_of(other) and all(r.violations == 0 for r in store.check("t").collect())
