@@ -647,11 +647,12 @@ def index_lookup_after_create(spark, sf):
     return engine.sql("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey = 70")
 
 
-@query("SELECT 'duplicate key' AS what, TRUE AS refused, COUNT(*) AS n FROM supplier UNION ALL SELECT 'null key', TRUE, COUNT(*) FROM supplier UNION ALL SELECT 'long text', TRUE, COUNT(*) FROM supplier UNION ALL SELECT 'index over duplicates', TRUE, COUNT(*) FROM supplier")
+@query("SELECT 'duplicate key' AS what, TRUE AS refused, COUNT(*) + 1 AS n FROM supplier UNION ALL SELECT 'null key', TRUE, COUNT(*) + 1 FROM supplier UNION ALL SELECT 'long text', TRUE, COUNT(*) + 1 FROM supplier UNION ALL SELECT 'index over duplicates', TRUE, COUNT(*) + 1 FROM supplier")
 def rules_refuse(spark, sf):
     """Statements that break a rule are refused and change nothing."""
     engine = _stored(spark, sf, "supplier", (["s_suppkey"], True))
-    first = table(spark, sf, "supplier").agg(F.min("s_suppkey")).first()[0]
+    first, nation = table(spark, sf, "supplier").agg(F.min("s_suppkey"), F.min("s_nationkey")).first()
+    engine.sql(f"INSERT INTO supplier VALUES (-1, 'neighbour', {nation}, 0.0)")
     statements = {
         "duplicate key": f"INSERT INTO supplier VALUES ({first}, 'x', 1, 1.0)", "null key": "INSERT INTO supplier VALUES (NULL, 'x', 1, 1.0)",
         "long text": f"INSERT INTO supplier VALUES (-1, '{'x' * 201}', 1, 1.0)", "index over duplicates": "CREATE UNIQUE INDEX by_nation ON supplier (s_nationkey)",
@@ -757,8 +758,9 @@ def table_history(spark, sf):
     """What was done to a table, as its commits tell."""
     engine = _stored(spark, sf, "supplier")
     engine.sql("CREATE INDEX by_nation ON supplier (s_nationkey)")
-    engine.sql("UPDATE supplier SET s_nationkey = 1 WHERE s_nationkey = 2")
-    engine.sql("DELETE FROM supplier WHERE s_nationkey = 3")
+    first = engine.sql("SELECT MIN(s_suppkey) FROM supplier").first()[0]
+    engine.sql(f"UPDATE supplier SET s_nationkey = 1 WHERE s_suppkey > {first}")
+    engine.sql(f"DELETE FROM supplier WHERE s_suppkey = {first}")
     engine.sql("BEGIN")
     engine.sql("INSERT INTO supplier VALUES (-1, 'new', 1, 0.0)")
     engine.sql("UPDATE supplier SET s_acctbal = 1.5 WHERE s_suppkey = -1")
