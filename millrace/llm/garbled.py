@@ -496,8 +496,9 @@ def restored_documents(documents: DataFrame, doc_id: str = "doc_id", text: str =
     Lines that cannot be restored stay as they are; a text that stands twice under an id comes out twice. See ``garbled_lines`` for nulls and repeats.
     """
     lines = garbled_lines(documents, doc_id, text).groupBy(F.col(doc_id).alias("bad_doc")).agg(F.collect_list(F.struct("line", "restored")).alias("lines"))
-    texts = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL").distinct()
-    both = texts.join(lines, F.col("doc") == F.col("bad_doc"), "inner").select("doc", "text", "lines")
+    texts = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL")
+    # of affected documents only
+    both = texts.join(lines, F.col("doc") == F.col("bad_doc"), "inner").select("doc", "text", "lines").dropDuplicates(["doc", "text"])
     kind = dict(both.dtypes)["doc"]
 
     def put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
