@@ -41,9 +41,7 @@ from millrace.llm.encodings import CODECS, PAIRS, ROUNDS, Model, by_decoder, und
 from millrace.session import cut_lineage, map_arrow, write_out
 
 #: twins that have to show a transformation, their share of those that could, and how many times as many as shuffled ones
-MIN_TWINS, MIN_SHARE, OVER_NULL = 2, 0.005, 3
-#: share of the records without twins a transformation applies to that have to speak for it
-MIN_GAIN_SHARE = 0.001
+MIN_TWINS, MIN_SHARE, OVER_NULL = 2, 0.002, 3
 #: share of an inferred byte's votes its character has, and of the runs that vote for a table it has to explain
 BYTE_SHARE, TABLE_SHARE = 0.9, 0.5
 INFERRED = ("inferred", "utf_8")
@@ -275,8 +273,7 @@ def learn(pairs: DataFrame, lines: DataFrame, model: Broadcast) -> Transformatio
         counts: Counter = Counter()
         for batch in batches:
             bare = [t for t in batch.column(0).to_pylist() if all(w.isascii() or len(_NOT_LETTER.sub("", w)) < WORD_LETTERS for w in _BLANKS.split(t))]
-            for _, _, pair, gained in _best(bare, model.value, by_decoder(PAIRS), margin, counts=counts):
-                counts["won", pair] += 1
+            for _, _, pair, gained in _best(bare, model.value, by_decoder(PAIRS), margin):
                 counts["gain", pair] += int(gained)
         yield _vote_rows(counts)
 
@@ -284,7 +281,9 @@ def learn(pairs: DataFrame, lines: DataFrame, model: Broadcast) -> Transformatio
     counted = map_arrow(pairs.select("a", "b"), show, _VOTES).unionByName(map_arrow(lines.select("line"), gain, _VOTES))
     for x in counted.groupBy("kind", "w", "r").agg(F.sum("n").alias("n")).collect():
         votes[x.kind, (x.w, x.r)] = x.n
-    shown = [p for p in PAIRS if votes["shown", p] >= max(MIN_TWINS, MIN_SHARE * votes["could", p]) and votes["shown", p] > max(OVER_NULL * votes["shuffled", p], votes["reversed", p])]
+    #: twins that show the opposite transformation show this one the wrong way round
+    stray = lambda p: max(OVER_NULL * votes["shuffled", p], votes["reversed", p] - votes["shown", p[::-1]])
+    shown = [p for p in PAIRS if votes["shown", p] >= max(MIN_TWINS, MIN_SHARE * votes["could", p]) and votes["shown", p] > stray(p)]
     # of equals the one that gives text more often
     shown.sort(key=lambda p: (-votes["shown", p], -votes["sound", p]))
 
@@ -310,7 +309,7 @@ def learn(pairs: DataFrame, lines: DataFrame, model: Broadcast) -> Transformatio
         elif x.top.n >= BYTE_SHARE * x["all"]:
             votes["byte", (x.w, x.top.r)] = x.top.n
     needed = {p for p in shown if votes["own", p] >= MIN_TWINS}
-    gained = {p for p in PAIRS if votes["gain", p] >= 3 * margin and votes["won", p] >= MIN_GAIN_SHARE * votes["applies", p]}
+    gained = {p for p in PAIRS if votes["gain", p] >= 3 * margin}
     table = {int(b): c for (kind, (b, c)), n in votes.items() if kind == "byte" and int(b) >= 0x80}
     inferred = encodings.completed(table, lambda name: votes["shown", (name, "utf_8")]) if _is_sound(pairs, model, table) else {}
     return Transformations((*(p for p in PAIRS if p in needed | gained), *([INFERRED] if inferred else [])), inferred)
@@ -347,11 +346,8 @@ def _vote_rows(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(counts.values(), pa.int64())], names=["kind", "w", "r", "n"])
 
 
-def _best(texts: list[str], model: Model, pairs: dict[str, list[str]], margin: float, known: Mapping = CODECS, counts: Counter | None = None) -> Iterator[tuple[int, str, tuple[str, str], float]]:
-    """For each text that one undone transformation makes more probable: its number, the new text, the pair, the gain.
-
-    ``counts`` gets how many texts each transformation applies to.
-    """
+def _best(texts: list[str], model: Model, pairs: dict[str, list[str]], margin: float, known: Mapping = CODECS) -> Iterator[tuple[int, str, tuple[str, str], float]]:
+    """For each text that one undone transformation makes more probable: its number, the new text, the pair, the gain."""
     at, candidates, names, size = [], [], [], 0
 
     def flush() -> Iterator[tuple[int, str, tuple[str, str], float]]:
@@ -371,8 +367,6 @@ def _best(texts: list[str], model: Model, pairs: dict[str, list[str]], margin: f
 
     for i, text in enumerate(texts):
         for was, pair in undo(text, pairs, known).items():
-            if counts is not None:
-                counts["applies", pair] += 1
             at.append(i)
             candidates.append(was.removeprefix("﻿"))
             names.append(pair)
